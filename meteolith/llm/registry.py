@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing
+from . import decontaminate, minhash, packing
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_pack": packing.query,
+    "op8_near_duplicates": minhash.query,
 }
 SQL = {
     "op1_decontaminate": decontaminate.SQL,
+    "op8_near_duplicates": minhash.SQL,
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, packing
+from . import ann, decontaminate, hilbert, minhash, packing
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_pack": packing.query,
+    "op7_nearest": ann.query,
     "op8_near_duplicates": minhash.query,
+    "op9_shard": hilbert.query,
 }
 SQL = {
     "op1_decontaminate": decontaminate.SQL,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, hilbert, language, minhash, packing
+from . import ann, decontaminate, hilbert, language, minhash, packing, pii
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_pack": packing.query,
     "op4_language": language.query,
+    "op5_pii": pii.query,
     "op7_nearest": ann.query,
     "op8_near_duplicates": minhash.query,
     "op9_shard": hilbert.query,

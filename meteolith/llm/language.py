@@ -201,7 +201,7 @@ class Tagger:
     def lookup(self, words: list[str]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
             self.known, self.rows = {}, self.rows[:0]
-        new = list(set(words) - self.known.keys())
+        new = [w for w in set(words) if w not in self.known]
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.rows = np.concatenate([self.rows, *(self.field.emissions(new[i : i + 50_000]) for i in range(0, len(new), 50_000))])

@@ -89,7 +89,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known = {}
         plain = [_PRE.findall(t.lower()) if t and _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        self.learn(list(set().union(*filter(None, plain)) - self.known.keys()))
+        self.learn([p for p in set().union(*filter(None, plain)) if p not in self.known])
         get = self.known.__getitem__
         return [(b"".join(map(get, ps)) if ps is not None else self.odd(t) if t else b"") + b"\0\0\0\0" for ps, t in zip(plain, texts, strict=True)]
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, hilbert, html, language, minhash, packing, pii, toxicity
+from . import ann, decontaminate, hilbert, html, language, minhash, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_pack": packing.query,
+    "op3_quality": quality.query,
     "op4_language": language.query,
     "op5_pii": pii.query,
     "op6_html": html.query,

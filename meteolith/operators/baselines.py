@@ -27,16 +27,17 @@ def zscore(obs: DataFrame) -> DataFrame:
 
 
 def ecdf(scores: DataFrame, clean: Column, column: str = "score") -> DataFrame:
-    """calibrated: share of clean scores <= the row's. Counts are summed by distinct score and cumulated in buckets of
-    the score's rank range, so no task holds all scores."""
+    """calibrated: share of clean scores <= the row's. Counts are summed by distinct score and cumulated in 256
+    ranges of the score, so no task holds all scores."""
     from pyspark.sql import Window
 
     g = scores.groupBy(column).agg(F.sum(F.coalesce(clean.cast("long"), F.lit(0))).alias("c"))
-    bounds = g.agg(F.percentile_approx(column, [i / 64 for i in range(1, 64)], 10_000).alias("b")).first()["b"] or []
-    bucket = sum(((F.col(column) > b).cast("int") for b in bounds), F.lit(0))
+    ends = g.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    same = ends["lo"] is None or ends["lo"] == ends["hi"]
+    bucket = F.lit(0) if same else F.width_bucket(F.col(column), F.lit(float(ends["lo"])), F.lit(float(ends["hi"])), F.lit(256))
     g = g.withColumn("bucket", bucket)
     totals = g.groupBy("bucket").agg(F.sum("c").alias("t"))
-    totals = totals.select("bucket", F.coalesce(F.sum("t").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("t").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))  # at most 64 rows
+    totals = totals.select("bucket", F.coalesce(F.sum("t").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("t").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))  # at most 257 rows
     g = g.join(F.broadcast(totals), "bucket")
     own = F.sum("c").over(Window.partitionBy("bucket").orderBy(column))
     g = g.select(F.col(column), F.coalesce(F.try_divide(F.col("before") + own, F.col("n")), F.lit(0.0)).alias("calibrated"))

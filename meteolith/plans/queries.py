@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from meteolith.functions import physics
 from meteolith.operators import baselines, diagnosis, fusion, grid, injection, metrics, multivariate, response, rules, spatial, temporal
 from meteolith.operators.lstm import Autoencoder, reconstruct
 from meteolith.plans import pipeline
+from meteolith.sources import files
 from meteolith.sources import observations as source
 from meteolith.streaming import stateful
 
@@ -81,6 +83,7 @@ def l1_missing_run(spark, d):
 def l1_timestamp_integrity(spark, d):
     """In an arrival order that turns blocks of 64 events round."""
     o = rules.clock(obs(spark, d).withColumn("seq", F.col("seq").bitwiseXOR(63)), dataclasses.replace(DEFAULT.rules, interval_minutes=30))
+    o = o.withColumn("gap_us", F.coalesce("gap_us", F.lit(0).cast("long")))
     return rounded(o, ["seq", "gap_us"], ["duplicate_score", "reversal_score", "gap_score"])
 
 
@@ -304,7 +307,7 @@ def centred_mean(spark, d):
 
 @query
 def temperature_anomaly(spark, d):
-    return rounded(grid.temperature_anomaly(gridded(spark, d).where("temp_c > -100 or temp_c is null"), 24, 5), ["step"], ["anomaly"])
+    return rounded(grid.temperature_anomaly(gridded(spark, d).where("temp_c > -100 or temp_c is null")), ["step"], ["anomaly"])
 
 
 @query
@@ -502,8 +505,10 @@ def audit_documents(spark, d):
 
 @query
 def stream_l1_replay(spark, d):
-    """The stateful streaming operator over the same readings, as one batch."""
-    return stateful.score_stream(obs(spark, d).drop("event_type"))
+    """The stateful operator over the same readings as a file stream, in one go."""
+    stream = stateful.score_stream(source.stream_events(spark, d).drop("event_type"))
+    out = stateful.replay(stream, f"{files.shared_dir(spark)}/replay-{uuid.uuid4().hex}")
+    return rounded(out, ["seq", "station_id", "has_hard"], [*[f"rule_{v}" for v in VARIABLES], "rule_score"])
 
 
 ENTRY = hard_violations

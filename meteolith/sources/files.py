@@ -4,6 +4,7 @@ evidence bundles."""
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -121,6 +122,11 @@ def load_network(spark: SparkSession, observations: str, stations: str, ids: lis
     return g, registry, grid.extremes(g, per_hour=max(1, round(60 / minutes)))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, else a local one (tests)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meteolith-")
+
+
 MESSAGE = "station_id string, timestamp string, temp_c string, pressure_hpa string, rh_pct string, neighbours string"
 
 

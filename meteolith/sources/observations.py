@@ -29,7 +29,16 @@ def canonical(df: DataFrame) -> DataFrame:
 
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One observation for each event; arithmetic goes through integers, so that every engine gives equal values."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return view(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same readings as a file stream."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return view(spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
+
+
+def view(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     v100 = F.round(F.col("value") * 100).cast("bigint")
     e = e.select("event_id", "user_id", "ts", "event_type", k.alias("k"), v100.alias("v100"))

@@ -95,6 +95,13 @@ def score_stream(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
     return keyed.groupBy("station_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def replay(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over what is there now into a Parquet sink, and read the sink."""
+    run = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def audit_stream(records: DataFrame, store, checkpoint: str):
     """Write a stream of records to the audit table; replayed batches change nothing, as the first write of a key wins."""
     return records.writeStream.foreachBatch(lambda batch, _: store.append(batch)).option("checkpointLocation", checkpoint).start()

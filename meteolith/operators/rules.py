@@ -10,15 +10,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meteolith.config import DEFAULT, VARIABLES, Rules
 from meteolith.functions.physics import micros
 
-ORDERED = Window.partitionBy("station_id").orderBy("seq")
-EARLIER = ORDERED.rowsBetween(Window.unboundedPreceding, -1)
+
+def ordered() -> WindowSpec:
+    """Arrival order within a station."""
+    return Window.partitionBy("station_id").orderBy("seq")
+
+
+def earlier() -> WindowSpec:
+    return ordered().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def upto() -> WindowSpec:
+    return ordered().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def is_sentinel(v: Column, cfg: Rules = DEFAULT.rules) -> Column:
@@ -49,7 +59,7 @@ def sentinel_range(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
 
 def missing_runs(obs: DataFrame) -> DataFrame:
     """missing_run_<v>: nulls in a row up to here; missing_score_<v>."""
-    islands = {f"__i_{v}": F.sum(F.col(v).isNotNull().cast("long")).over(ORDERED.rowsBetween(Window.unboundedPreceding, 0)) for v in VARIABLES}
+    islands = {f"__i_{v}": F.sum(F.col(v).isNotNull().cast("long")).over(upto()) for v in VARIABLES}
     obs = obs.withColumns(islands)
     runs = {}
     for v in VARIABLES:
@@ -63,7 +73,7 @@ def missing_runs(obs: DataFrame) -> DataFrame:
 def clock(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
     """gap_us (since the latest earlier timestamp), duplicate, reversal, gap scores; the clock never moves back."""
     obs = obs.withColumn("__us", micros(F.col("timestamp")))
-    obs = obs.withColumn("gap_us", F.col("__us") - F.max("__us").over(EARLIER)).drop("__us")
+    obs = obs.withColumn("gap_us", F.col("__us") - F.max("__us").over(earlier())).drop("__us")
     gap = F.lit(0.0)
     if cfg.interval_minutes:
         step = cfg.interval_minutes * 60e6
@@ -76,7 +86,7 @@ def rates(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
     """delta_<v> against the last sound value in arrival order, rate_score_<v>. Needs clock() and hard flags."""
     hours = F.col("gap_us") / 3.6e9
     usable = (F.col("gap_us") > 0) & (hours <= cfg.max_gap_h)
-    deltas = {f"delta_{v}": F.when(usable & ~F.col(f"hard_{v}"), F.abs(F.col(v) - F.last(F.when(~F.col(f"hard_{v}"), F.col(v)), ignorenulls=True).over(EARLIER))) for v in VARIABLES}
+    deltas = {f"delta_{v}": F.when(usable & ~F.col(f"hard_{v}"), F.abs(F.col(v) - F.last(F.when(~F.col(f"hard_{v}"), F.col(v)), ignorenulls=True).over(earlier()))) for v in VARIABLES}
     obs = obs.withColumns(deltas)
     scores = {}
     for v in VARIABLES:

@@ -38,15 +38,19 @@ def sniff(spark: SparkSession, path: str) -> str:
 
 def resolve(columns: list[str], candidates: tuple, compat: bool = False) -> str | None:
     """Column for a meaning: equal names first, then names that hold a candidate as whole words (compat: anywhere)."""
+    return resolve_all(columns, {"it": candidates}, compat)["it"]
+
+
+def resolve_all(columns: list[str], meanings: dict[str, tuple], compat: bool = False) -> dict[str, str | None]:
+    """Columns for several meanings; a column that has one meaning by name is no other's by its words (but in compat)."""
     lower = {c.strip().lower(): c for c in columns}
-    for c in candidates:
-        if c in lower:
-            return lower[c]
-    for c in candidates:
-        for name, original in lower.items():
-            if (c in name) if compat else (f"_{c}_" in f"_{name.replace(' ', '_').replace('-', '_')}_"):
-                return original
-    return None
+    found: dict[str, str | None] = {k: next((lower[c] for c in cs if c in lower), None) for k, cs in meanings.items()}
+    taken = set() if compat else set(found.values())
+    words = lambda c, name: c in name if compat else f"_{c}_" in f"_{name.replace(' ', '_').replace('-', '_')}_"
+    for k, cs in meanings.items():
+        if found[k] is None:
+            found[k] = next((o for c in cs for name, o in lower.items() if o not in taken and words(c, name)), None)
+    return found
 
 
 def load_csv(spark: SparkSession, path: str, station_id: str | None = None, elevation_m: float = 0.0, column_map: dict | None = None, temperature_unit: str = "C", compat: bool = False) -> DataFrame:
@@ -55,7 +59,7 @@ def load_csv(spark: SparkSession, path: str, station_id: str | None = None, elev
     df = spark.read.option("header", True).option("sep", sniff(spark, path)).csv(path)
     if not df.columns:
         raise ValueError(f"{path} has no header")
-    col = {k: (column_map or {}).get(k) or resolve(df.columns, c, compat) for k, c in CANDIDATES.items()}
+    col = resolve_all(df.columns, CANDIDATES, compat) | (column_map or {})
     parts = [resolve(df.columns, (p,), False) for p in ("year", "month", "day", "hour")]
     if col["time"] is None and not all(parts):
         raise ValueError(f"{path} has no time column")

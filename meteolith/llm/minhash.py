@@ -8,8 +8,10 @@ set stops at the first step after which none of its places can become smaller: l
 Documents with equal sets are one class. Classes are bucketed by bands of four places, as many bands as make a missed
 pair at the threshold less likely than MISS. In each bucket every class is linked with the bucket's smallest one;
 links are confirmed on full sets, read again from the texts. Buckets whose classes are then still in several
-components are gone through once more, for every pair across components, so that no pair within a bucket is left out,
-yet a group of copies never makes all its pairs.
+components are gone through once more, for every pair across components, except pairs that cannot meet the threshold,
+as lower bounds of their symmetric difference show (elements that no other open class has, differing distances to the
+smallest class, differing parities of hashed elements): so no pair within a bucket is left out, yet a
+group of copies never makes all its pairs.
 
 Defined edge cases: null texts, empty texts and texts without words have the empty set and are linked with nothing;
 rows without an id take no part (component null, kept); repeated rows share their component; columns other than id
@@ -32,6 +34,8 @@ from . import common, graph
 #: Default shingle length and similarity (in hundredths).
 WORDS, PERCENT = 5, 80
 ROWS = 4
+#: Places of the parity sketch that bounds symmetric differences.
+PARITY = 2048
 #: Largest chance that a pair exactly at the threshold shares no bucket.
 MISS = 1e-6
 
@@ -159,8 +163,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int) -> D
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets meet the threshold exactly; a pair with a class of very many partners is split by
-    the join itself (its rows are independent)."""
+    """pairs (a, b) with the size of their symmetric difference and whether they meet the threshold; the pairs of a class with very many
+    partners are independent rows, which the join may split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,23 +177,57 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                 ids, at = shingles([texts[r] for r in rows[x:y]], k)
                 for j, r in enumerate(rows[x:y]):
                     sets[r] = ids[at[j] : at[j + 1]]
-            good = []
-            for i, j in zip(a, b, strict=True):
-                p, q = sets[first[i]], sets[first[j]]
-                both = len(p) + len(q)
-                # The intersection can be no larger than the smaller set.
-                ok = 100 * min(len(p), len(q)) >= percent * max(len(p), len(q))
-                if ok:
-                    merged = np.concatenate([p, q])
-                    merged.sort(kind="stable")
-                    common_ids = int((merged[1:] == merged[:-1]).sum())
-                    ok = 100 * common_ids >= percent * (both - common_ids)
-                good.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
+            both = np.empty(len(a), np.int64)
+            for n, (i, j) in enumerate(zip(a, b, strict=True)):
+                merged = np.concatenate([sets[first[i]], sets[first[j]]])
+                merged.sort(kind="stable")
+                both[n] = (merged[1:] == merged[:-1]).sum()
+            size = np.array([[len(sets[first[i]]), len(sets[first[j]])] for i, j in zip(a, b, strict=True)], np.int64).reshape(-1, 2).sum(axis=1)
+            union = size - both
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size - 2 * both), pa.array(100 * both >= percent * union)], names=["a", "b", "apart", "linked"])
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, apart long, linked boolean")
+
+
+def lone(texts: DataFrame, k: int) -> DataFrame:
+    """class, lone: how many elements of each text's set are in no other of these texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, own = batch.column(1).to_pylist(), batch.column(0).to_numpy()
+            for a, b in _slices(texts):
+                ids, at = shingles(texts[a:b], k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[a:b], np.diff(at))), pa.array(ids.view(np.int64))], names=["class", "e"])
+
+    elements = texts.select("id", "text").mapInArrow(run, "class long, e long")
+    once = elements.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("class")).where("c = 1")
+    return once.groupBy("class").agg(F.count(F.lit(1)).alias("lone"))
+
+
+def parities(texts: DataFrame, k: int) -> DataFrame:
+    """class, odd: for each of PARITY places, whether an odd number of the set's elements hash there. Every place in
+    which two sets differ takes an element of their symmetric difference, so differing places bound its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in _slices(texts):
+                ids, at = shingles(texts[a:b], k)
+                owner = np.repeat(np.arange(b - a), np.diff(at))
+                count = np.bincount(owner * PARITY + (mix(ids ^ _B) % _U(PARITY)).astype(np.int64), minlength=(b - a) * PARITY)
+                bits = np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+                words = PARITY // 64
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(0, words * (b - a) + 1, words, dtype=np.int32)), pa.array(bits))], names=["class", "odd"])
+
+    return texts.select("id", "text").mapInArrow(run, "class long, odd array<long>")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components."""
+    keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(keys, "key", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -198,29 +236,46 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sketches = common.materialise(sketch(docs, id_col, text_col, k, bands))
     classes = sketches.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("class"), F.min_by("bands", "id").alias("bands"))
     classes = common.materialise(classes)
-    members = classes.select(F.explode("bands").alias("key"), "class")
+    members = classes.select("class", F.posexplode("bands").alias("band", "key"))
     heads = members.groupBy("key").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     members = common.materialise(members.join(heads, "key"))
     pairs = members.where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b")).distinct()
     pairs = common.materialise(pairs)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     # Rows that share an id but not the text: the class was made from one of them, and any stands for it here.
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     texts = common.materialise(texts)
-    links = common.materialise(confirm(pairs, texts, k, percent))
-    labels = graph.components(links)
+    stars = common.materialise(confirm(pairs, texts, k, percent))
+    labels = graph.components(stars.where("linked"))
 
-    # Buckets that still hold several components: every pair across them, once.
+    # Buckets that still hold several components: every pair across them that can still meet the threshold, once.
     label = F.coalesce("v", "class")
-    placed = members.join(labels.withColumnRenamed("u", "class"), "class", "left").select("key", "class", label.alias("label"))
-    open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rest = common.materialise(placed.join(open_keys, "key", "left_semi"))
-    left = rest.select("key", F.col("class").alias("a"), F.col("label").alias("la"))
-    right = rest.select("key", F.col("class").alias("b"), F.col("label").alias("lb"))
-    across = left.join(right, "key").where("la < lb").select("a", "b").distinct()
+    sized = members.join(classes.select("class", "n"), "class")
+    rest = _open(sized.join(labels.withColumnRenamed("u", "class"), "class", "left").select("key", "class", "head", "band", "n", label.alias("label")))
+    rest = common.materialise(rest)
+    open_texts = common.materialise(texts.join(rest.select(F.col("class").alias("id")).distinct(), "id", "left_semi"))
+    own = lone(open_texts, k)
+    # Elements that no other open class has are in no intersection; m bounds the intersection with any class here.
+    rest = rest.join(own, "class", "left").withColumn("m", F.col("n") - F.coalesce("lone", F.lit(0)))
+    low = rest.groupBy("key").agg(F.min("n").alias("low"))
+    able = lambda a, b, m: F.lit(100) * m >= F.lit(percent) * (a + b - m)
+    rest = rest.join(low, "key").where(able(F.col("n"), F.greatest("low", "m"), F.col("m"))).select("key", "class", "head", "band", "n", "m", "label")
+    # Sizes of symmetric differences are a metric: they to the bucket's head can differ by no more than the pair's own.
+    rest = rest.join(stars.select(F.col("a").alias("class"), F.col("b").alias("head"), "apart"), ["class", "head"], "left").withColumn("apart", F.coalesce("apart", F.lit(0)))
+    rest = common.materialise(_open(rest).join(classes.select("class", "bands"), "class").join(parities(open_texts, k), "class"))
+    left = rest.select("key", F.col("class").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("apart").alias("da"), F.col("bands").alias("ba"), F.col("odd").alias("oa"), "band")
+    right = rest.select("key", F.col("class").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("apart").alias("db"), F.col("bands").alias("bb"), F.col("odd").alias("ob"))
+    # A pair at the threshold differs in (1 - t) / (1 + t) of both sizes at most; elements of no other class all differ.
+    least = F.greatest(F.abs(F.col("da") - F.col("db")), F.col("na") - F.col("ma") + F.col("nb") - F.col("mb"))
+    differing = sum((F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(1, PARITY // 64)), F.bit_count(F.col("oa")[0].bitwiseXOR(F.col("ob")[0])))
+    least = F.greatest(least, differing)
+    close = least * (100 + percent) <= F.lit(100 - percent) * (F.col("na") + F.col("nb"))
+    # A pair that shares several buckets stands in the first of them.
+    first = F.expr("NOT exists(slice(zip_with(ba, bb, (x, y) -> x = y), 1, band), e -> e)")
+    across = left.join(right, "key").where((F.col("la") < F.col("lb")) & able(F.col("na"), F.col("nb"), F.least("ma", "mb")) & close & first).select("a", "b").distinct()
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-    more = confirm(across, texts, k, percent)
+    more = confirm(across, texts, k, percent).where("linked").select("a", "b")
     joined = common.materialise(more.unionByName(labels.select(F.col("u").alias("a"), F.col("v").alias("b"))))
     labels = graph.components(joined)
 

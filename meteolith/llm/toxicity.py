@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Labelled documents of each label that the regression is fitted on, at most.
-SAMPLE = 6000
+SAMPLE = 2500
 BITS = 20
 #: Lengths of the word beginnings that are features beside whole words, least z-score of a feature, and L2 penalty.
 STEMS, LEAST_Z, PENALTY = (4, 5, 6, 7, 8), 5.0, 3e-4
@@ -189,13 +189,12 @@ class Words:
         return [*itertools.chain.from_iterable(map(self.features.__getitem__, words))]
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, weights: np.ndarray, rounds: int = 200) -> tuple[dict[int, float], float]:
+def fit(row: np.ndarray, feature: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = 200) -> tuple[dict[int, float], float]:
     """Logistic regression (Adam on the whole sample) on log2(1 + words that have a feature), over the features whose
-    presence goes with the label: {feature: weight}, bias."""
-    found = [np.unique(np.array(r, np.int64), return_counts=True) for r in rows]
-    flat, value = np.concatenate([f for f, _ in found]), np.log2(1 + np.concatenate([c for _, c in found]))
-    row = np.repeat(np.arange(len(rows)), [len(f) for f, _ in found])
-    n, p = len(rows), labels.mean()
+    presence goes with the label: {feature: weight}, bias. row, feature: one entry for each word's feature."""
+    key, count = np.unique(row.astype(np.int64) << BITS | feature, return_counts=True)
+    row, flat, value = key >> BITS, key & ((1 << BITS) - 1), np.log2(1 + count)
+    n, p = len(labels), labels.mean()
     seen, toxic = np.bincount(flat, minlength=1 << BITS), np.bincount(flat, labels[row], minlength=1 << BITS)
     z = (toxic - seen * p) / np.sqrt(seen * p * (1 - p) * (1 - seen / n) + 1e-9)
     keep = ((seen >= 4) & (np.abs(z) >= LEAST_Z))[flat]
@@ -235,9 +234,11 @@ def score(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col:
     y = rows.column("y").to_numpy()[order].astype(float)
     if len(set(y.tolist())) < 2:
         return docs.drop("score").withColumn("score", F.lit(0.0))
-    words = rows.column("words").to_pylist()
+    words = rows.column("words").combine_chunks()
+    words = words.take(pa.array(order))
+    at = np.repeat(np.arange(len(y)), np.diff(words.offsets.to_numpy()))
     share = np.array([sizes[0] / max(1, (y == 0).sum()), sizes[1] / max(1, (y == 1).sum())])  # as frequent as before sampling
-    fitted = spark.sparkContext.broadcast(fit([words[i] for i in order], y, share[y.astype(int)]))
+    fitted = spark.sparkContext.broadcast(fit(at, words.flatten().to_numpy(), y, share[y.astype(int)]))
 
     def scored():
         w, b = fitted.value

@@ -325,13 +325,13 @@ def test_curve_visits_neighbours():
 
 
 def test_toxicity(spark, odd, empty):
-    d, labels = docs(spark, "/root/testdata/sf0.01"), common.read(spark, "/root/testdata/sf0.01", "labels")
+    d, labels = docs(spark, "/root/testdata/sf0.1"), common.read(spark, "/root/testdata/sf0.1", "labels")
     part = common.doc_bucket("doc_id", 5)
     planted = spark.createDataFrame([(10_000_000 + i, f"the {w} of thing") for i, w in enumerate(["idiot idiot", "stup1d m0ron", "i-d-i-o-t and l0ser", "quiet garden"])], "doc_id long, text string")
     rows = {r["doc_id"]: r["score"] for r in toxicity.score(d.select("doc_id", "text").union(planted), labels.where(part != 0)).collect()}
     y = {r["doc_id"]: r["toxic"] for r in labels.where(part == 0).collect()}
     toxic, clean = ([rows[i] for i in y if y[i] == k] for k in (1, 0))
-    assert np.mean([a > b for a in toxic for b in clean]) > 0.8
+    assert np.mean([a > b for a in toxic for b in clean]) > 0.9
     assert rows[10_000_001] > rows[10_000_003] and rows[10_000_002] > rows[10_000_003]
     assert toxicity.score(odd, labels).count() == len(ODD) and toxicity.score(empty, labels).count() == 0
     assert {r["score"] for r in toxicity.score(odd, labels.limit(0)).collect()} == {0.0}

@@ -188,7 +188,7 @@ def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", tex
     """id, lang, n_chars, perplexity, threshold, kept. `trusted`: the ids of trusted documents."""
     ids = trusted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
     marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    probabilities, weights = model(count(marked.join(ids, F.col("id") == F.col("__id"), "left_semi"), "text"))
+    probabilities, weights = model(count(marked.join(ids.hint("merge"), F.col("id") == F.col("__id"), "left_semi"), "text"))
     score = _in_workers if probabilities.count() <= model_rows else _in_shards
     scored = score(marked, "text", probabilities, weights)
     scored = scored.select("id", "lang", F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))

@@ -2,7 +2,8 @@
 
 Vectors are scaled to length one, turned by a random rotation and kept in column blocks. Lists belong to centroids
 fitted on a bounded sample; every vector is indexed, in blocks of bounded size, so that a list with a third of all
-vectors is many tasks. A query probes its nearest lists. Within a block the first rows give a bound; for the others,
+vectors is many tasks. A query probes its nearest lists, as
+many as find COVERAGE of the neighbours within the sample. Within a block the first rows give a bound; for the others,
 partial distances over one column block after another are tested against it, and a candidate is given up once the
 distance estimated from d of D dimensions, less an error of EPSILON / sqrt(d), lies beyond the bound. Survivors get
 the exact cosine of the original vectors in double precision.
@@ -29,8 +30,10 @@ from . import common
 K = 5
 #: Vectors that centroids are fitted on, at most.
 SAMPLE = 20_000
-#: Aimed vectors in a list; lists probed by a query.
+#: Aimed vectors in a list; lists that a query probes at least.
 PER_LIST, PROBES = 512, 16
+#: Share of the sample's true neighbours whose lists must be probed, and how many sampled queries measure that.
+COVERAGE, MEASURED = 0.99, 400
 MAX_LISTS = 4096
 #: Rows of one block of a list.
 BLOCK = 2048
@@ -62,6 +65,22 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = 7
     return centroids
 
 
+def probes_for(sample: np.ndarray, centroids: np.ndarray, k: int) -> int:
+    """Lists to probe so that COVERAGE of the sample's own nearest neighbours are found. Among all vectors neighbours
+    are nearer than in a sample, so this errs to the safe side."""
+    q = sample[:MEASURED]
+    near = q @ sample.T
+    near[np.arange(len(q)), np.arange(len(q))] = -9
+    n = min(k, len(sample) - 1)
+    if n < 1:
+        return len(centroids)
+    best = np.argpartition(-near, n - 1, axis=1)[:, :n]
+    own = (sample @ centroids.T).argmax(axis=1)
+    rank = np.argsort(np.argsort(-(q @ centroids.T), axis=1, kind="stable"), axis=1)
+    need = np.quantile(np.take_along_axis(rank, own[best], axis=1), COVERAGE)
+    return int(min(len(centroids), max(PROBES, math.ceil(need) + 1)))
+
+
 def scan(block: np.ndarray, ids: np.ndarray, exact: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, query_exact: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query, id, cosine) of each query's best k rows of a block. block, queries: rotated; exact: original, scaled."""
     dim, out = block.shape[1], []
@@ -105,7 +124,10 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
     rows = base.select("v").orderBy(F.xxhash64("v", "id")).limit(SAMPLE).toArrow().column("v").to_pylist()
     turn = rotation(dim)
     lists = max(1, min(MAX_LISTS, n // PER_LIST, len(rows) // 4 or 1))
-    shared = spark.sparkContext.broadcast((turn, fit_centroids(unit(np.array(rows)) @ turn, lists)))
+    fitted_on = unit(np.array(rows)) @ turn
+    centroids = fit_centroids(fitted_on, lists)
+    probes = probes_for(fitted_on, centroids, k)
+    shared = spark.sparkContext.broadcast((turn, centroids))
 
     def assign(probes: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +148,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
     # A list's rows are dealt over its blocks; a query that probes the list goes to each of them.
     blocks = spark.createDataFrame([*counts.items()], "list int, blocks long")
     dealt = indexed.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
-    probing = asked.mapInArrow(assign(PROBES), schema).select("id", "v", F.explode("lists").alias("list")).join(F.broadcast(blocks), "list")
+    probing = asked.mapInArrow(assign(probes), schema).select("id", "v", F.explode("lists").alias("list")).join(F.broadcast(blocks), "list")
     probing = probing.select("id", "v", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
 
     def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -2,8 +2,11 @@
 
 A character language model (trigrams, counted over every document) restores disguised words: a token's characters
 form a lattice - digits and signs may stand for letters, repeated letters for fewer, signs between letters for
-nothing, and single letters spelt out with blanks for a word - and Viterbi decoding picks the likeliest letters. A
-token of plain letters has a lattice of one path and is itself. Restored words then go through logistic regression.
+nothing, and single letters spelt out with blanks for a word - and Viterbi decoding picks the likeliest letters. Every
+token with a sign, a digit or a doubled letter is decoded whole; signs at its ends may be letters or punctuation. As
+shorter words are always likelier, its likeliest readings with end signs as letters and as punctuation, and with
+doubled characters kept and merged, count beside each other. A token of other letters has a lattice of one path and is
+itself. Restored words then go through logistic regression.
 
 The regression is fitted on at most SAMPLE labelled documents of either label, chosen by hash; language-model counts
 and scores cover whole texts of all documents.
@@ -46,9 +49,9 @@ LEET = {
 FILLERS = set("*.-_~^'`#%&=,;:/\\")
 #: Costs (natural logarithms) of a substituted sign, a dropped sign, a dropped repetition, a repetition that is kept.
 SUBSTITUTE, DROP, REPEAT, KEEP = 0.5, 0.7, 0.3, 2.5
-_TAIL = "!|+$€£¡@" + "#%&*\"'"
-_EDGE = "#%&*\"'.,;:?()[]{}<>-_~^`=/\\“”«»…"
-_ODD = re.compile(r"[^\W\d_].*[\d@$!|+*._~^#%&=,;:/\\€£¡(-]|[\d@$!|+(€£¡].*[^\W\d_]|([^\W\d_])\1\1", re.S)
+#: Signs that never stand for a letter; at a token's ends they are punctuation.
+_EDGE = "#%&*\"'.,;:?)[]{}<>-_~^`=/\\“”«»…"
+_ODD = re.compile(r"[^\w]|[\d_]|([^\W\d_])\1")
 _SPELT = re.compile(r"(?<!\S)[^\W_](?:[ \t\n.\-_*]{1,2}[^\W_]){2,}(?!\S)")
 FIELDS = [T.StructField("score", T.DoubleType())]
 
@@ -103,8 +106,9 @@ class Restorer:
         self.model = model.tolist()
         self.symbol: dict[str, int] = {}
 
-    def decode(self, token: str, spelt: bool = False) -> str:
-        """Likeliest letters of a disguised token."""
+    def decode(self, token: str, spelt: bool = False, ends: bool | None = None, merge: bool = True) -> str:
+        """Likeliest letters of a disguised token. Signs at its ends are letters (ends), punctuation (not ends) or what
+        the model likes better (None; letters if the token is all signs); doubled characters stay without merge."""
         token = token.lower()
         runs: list[tuple[str, int]] = []
         for c in token:
@@ -112,27 +116,32 @@ class Restorer:
                 runs[-1] = (c, runs[-1][1] + 1)
             else:
                 runs.append((c, 1))
+        solid = [i for i, (c, _) in enumerate(runs) if c.isalnum()]
+        first, last = (solid[0], solid[-1]) if solid else (0, len(runs))
         model, symbol = self.model, self.symbol
-        # State: last two symbols -> (cost, restored letters).
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # State: last two symbols -> (cost, restored letters, in pairs of what came before and what was added).
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i, (c, n) in enumerate(runs):
             options: list[tuple[str, float]] = []
             letters = LEET.get(c)
+            edge = not first <= i <= last
             if c.isalpha():
-                options.append((c, REPEAT if n > 1 else 0.0))
+                if merge or n != 2:
+                    options.append((c, REPEAT if n > 1 else 0.0))
                 if n > 1:
                     options.append((c * 2, REPEAT if n > 2 else 0.0))
                 if n > 2:
                     options.append((c * n, KEEP))
             elif letters:
-                options += [(x * k, SUBSTITUTE + (REPEAT if k < n else 0.0)) for x in letters for k in ((1, 2) if n > 1 else (1,))]
-                if not c.isdigit() and i in (0, len(runs) - 1):
+                if not (edge and ends is False):
+                    options += [(x * k, SUBSTITUTE + (REPEAT if k < n else 0.0)) for x in letters for k in ((1,) if n == 1 else (2,) if n == 2 and not merge else (1, 2))]
+                if edge and not ends:
                     options.append(("", DROP))
             elif c.isspace() or c in FILLERS:
                 options.append(("", 0.0 if spelt or c.isspace() else DROP))
             if not options:
                 options.append(("", DROP))
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, text) in states.items():
                 for out, extra in options:
                     x, y, total = a, b, cost + extra
@@ -143,17 +152,32 @@ class Restorer:
                         total -= model[x][y][s]
                         x, y = y, s
                     if (x, y) not in new or total < new[x, y][0]:
-                        new[x, y] = (total, text + out)
+                        new[x, y] = (total, (text, out) if out else text)
             states = new
-        return min((cost - model[a][b][0], text) for (a, b), (cost, text) in states.items())[1]
+        text = min(((cost - model[a][b][0], text) for (a, b), (cost, text) in states.items()), key=lambda x: x[0])[1]
+        parts = []
+        while text:
+            text, out = text
+            parts.append(out)
+        return "".join(reversed(parts))
 
     def restore(self, token: str) -> str:
-        """Signs at a token's end are punctuation, at its beginning so if there are several."""
-        t = token.strip(_EDGE).rstrip(_TAIL)
-        if t[:2].strip("$!|+") == "":
-            t = t.lstrip(_TAIL)
+        """Likeliest reading of a token."""
+        t = token.strip(_EDGE)
         return self.decode(t) if _ODD.search(t) else t
 
+    def readings(self, token: str) -> tuple[str, ...]:
+        """The likeliest reading, those that the choice of ends and doubles rules out, and what is written if that has
+        no signs."""
+        t = token.strip(_EDGE)
+        if not _ODD.search(t):
+            return (t,)
+        plain = t.isalnum()
+        ends = (None,) if plain or (t[:1].isalnum() and t[-1:].isalnum()) else (None, True, False) if any(map(str.isalnum, t)) else (None,)
+        doubles = (True, False) if any(a == b for a, b in zip(t, t[1:], strict=False)) else (True,)
+        found = {self.decode(t, ends=e, merge=m) for e in ends for m in doubles}
+        return tuple(sorted(found | {t} if plain else found))
+
 
 def _hash(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) >> (32 - BITS)
@@ -161,11 +185,11 @@ def _hash(word: str) -> int:
 
 class Words:
     """Hashed features of texts' distinct restored words: each word, and its beginnings of STEMS characters. Each
-    distinct token is restored once. Features without a weight may be left out."""
+    distinct token is read once. Features without a weight may be left out."""
 
     def __init__(self, model: np.ndarray, weights: dict[int, float] | None = None):
         self.restorer, self.weights = Restorer(model), weights
-        self.known: dict[str, str] = {}
+        self.known: dict[str, tuple[str, ...]] = {}
         self.features: dict[str, tuple[int, ...]] = {}
 
     def of_word(self, word: str) -> tuple[int, ...]:
@@ -181,8 +205,8 @@ class Words:
         text = text.lower()
         tokens = set(text.split())
         for t in [t for t in tokens if t not in self.known]:
-            self.known[t] = self.restorer.restore(t)
-        words = set(map(self.known.__getitem__, tokens))
+            self.known[t] = self.restorer.readings(t)
+        words = set(itertools.chain.from_iterable(map(self.known.__getitem__, tokens)))
         words.update(self.restorer.decode(m[0], spelt=True) for m in _SPELT.finditer(text))
         for w in [w for w in words if w not in self.features]:
             self.features[w] = self.of_word(w)

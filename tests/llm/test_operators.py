@@ -344,6 +344,15 @@ def test_restoring(spark):
     assert r.decode("i d i o t", True) == "idiot"
 
 
+def test_every_disguise_is_decoded(spark):
+    counts = toxicity.trigram_counts(docs(spark, "/root/testdata/sf0.01"), "text")
+    words = toxicity.Words(toxicity.language_model(counts))
+    for token, word in {"sh!+": "shit", "a$$": "ass", "$$hole": "sshole", "loser$": "losers", "(lown": "clown", "$#!7": "sit", "@$$": "ass", "455": "ass", "stuupid": "stupid", "iddiot": "idiot"}.items():
+        assert set(words.of_word(word)) <= set(words(f"the {token} thing")), token
+    assert {"loser", "losers"} <= set(words.restorer.readings("loser$")) and "ass" in words.restorer.readings("ass")
+    assert words.restorer.readings("plain,") == ("plain",) and len(words.restorer.decode("@$" * 20_000)) >= 20_000
+
+
 # the pipeline and the registered queries
 
 

@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meteolith.config import DEFAULT, VARIABLES, Model
+from meteolith.config import DEFAULT, VARIABLES
 from meteolith.functions import physics
 from meteolith.operators import baselines, diagnosis, fusion, grid, injection, metrics, multivariate, response, rules, spatial, temporal
-from meteolith.operators.lstm import Autoencoder, reconstruct
+from meteolith.operators.lstm import reconstruct
 from meteolith.plans import pipeline
 from meteolith.sources import files
 from meteolith.sources import observations as source
@@ -30,6 +30,13 @@ def obs(spark: SparkSession, d: str) -> DataFrame:
     return source.from_events(spark, d)
 
 
+def chronological(df: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """df before and from the time by which `share` of its readings have come."""
+    cut = df.agg(F.percentile(F.unix_micros(F.col("timestamp").cast("timestamp")), share)).first()[0]
+    at = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    return df.where(at < F.lit(cut)), df.where(at >= F.lit(cut))
+
+
 def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
@@ -165,13 +172,9 @@ def lstm_reconstruction(spark, d):
     o = obs(spark, d).where(temporal.complete())
     scaler = temporal.fit_scaler(o)
     z = temporal.transform(o, scaler)
-    cfg = Model(window=8, hidden=8, epochs=3)
-    x = [r["window"] for r in temporal.training_windows(z, 8, 4).orderBy(F.xxhash64("seq"), "seq").limit(400).select("window").collect()]
-    import numpy as np
-
-    net = Autoencoder(8, 8, cfg.seed)
-    net.fit(np.array(x[:300], float), np.array(x[300:] or x, float), cfg)
-    return reconstruct(temporal.windows(z, 8), net).select("seq", "station_id", "recon_error", *[f"recon_error_{v}" for v in VARIABLES])
+    early, late = chronological(z)
+    net = pipeline.train(early, late)
+    return reconstruct(temporal.windows(z, net.window), net).select("seq", "station_id", "recon_error", *[f"recon_error_{v}" for v in VARIABLES])
 
 
 # Layer 3
@@ -470,9 +473,9 @@ def station_registry(spark, d):
 
 
 def fitted(spark, d) -> pipeline.Fitted:
+    """All trusted readings; the model is trained on the earlier and stopped by the later ones."""
     clean = source.trusted(obs(spark, d)).where("keep").drop("keep")
-    cfg = dataclasses.replace(DEFAULT, model=Model(window=8, hidden=8, epochs=2))
-    return pipeline.fit(clean.where("seq % 5 <> 0"), clean.where("seq % 5 = 0"), cfg, stride=4, most=400)
+    return pipeline.fit(*chronological(clean), whole=clean)
 
 
 @query
@@ -486,7 +489,7 @@ def trained_forest(spark, d, detected: DataFrame) -> diagnosis.FaultForest:
     import numpy as np
 
     rows = detected.where("fingerprint is not null").join(labelled(spark, d).select("seq", F.col("fault_class").alias("c")), "seq").orderBy(F.xxhash64("seq"), "seq").limit(2000).select("fingerprint", "c").collect()
-    return diagnosis.FaultForest(dataclasses.replace(DEFAULT.forest, trees=10)).fit(np.array([r[0] for r in rows], float), [r[1] for r in rows])
+    return diagnosis.FaultForest(DEFAULT.forest).fit(np.array([r[0] for r in rows], float), [r[1] for r in rows])
 
 
 @query
@@ -500,7 +503,7 @@ def fault_diagnosis(spark, d):
 
 @query
 def audit_documents(spark, d):
-    return pipeline.document(pipeline.process(obs(spark, d), source.stations(spark), pipeline.Fitted(), explain=False))
+    return pipeline.document(pipeline.process(obs(spark, d), source.stations(spark), fitted(spark, d), explain=False))
 
 
 @query

@@ -16,6 +16,19 @@ def test_runs_over_every_row(spark, small, name):
     assert queries.QUERIES[name](spark, small).count() > 900
 
 
+def test_fitted_on_whole_data_with_the_defaults(spark, small):
+    from meteolith.config import DEFAULT
+    from meteolith.operators import temporal
+    from meteolith.sources import observations as source
+
+    f = queries.fitted(spark, small)
+    clean = source.trusted(queries.obs(spark, small)).where("keep")
+    scaler = lambda df: comparable(df.toPandas())
+    assert scaler(f.scaler) == scaler(temporal.fit_scaler(clean)) and (f.model.window, f.model.hidden) == (DEFAULT.model.window, DEFAULT.model.hidden)
+    early, late = queries.chronological(clean)
+    assert early.count() + late.count() == clean.count() and early.agg({"timestamp": "max"}).first()[0] < late.agg({"timestamp": "min"}).first()[0]
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 

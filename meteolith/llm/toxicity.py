@@ -34,10 +34,10 @@ from pyspark.sql import types as T
 from . import common
 
 #: Labelled documents of each label that the regression is fitted on, at most.
-SAMPLE = 2500
+SAMPLE = 6000
 BITS = 20
-#: Lengths of the word beginnings that are features beside whole words, least z-score of a feature, and L2 penalty.
-STEMS, LEAST_Z, PENALTY = (4, 5, 6, 7, 8), 5.0, 3e-4
+#: Lengths of the word beginnings that are features beside whole words, least documents of a feature, and L2 penalty.
+STEMS, LEAST, PENALTY = (4, 5, 6, 7, 8), 4, 3e-4
 SYMBOLS = 64
 REMEMBERED = 500_000
 #: Letters that digits and signs stand for.
@@ -214,22 +214,33 @@ class Words:
 
 
 def fit(row: np.ndarray, feature: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = 200) -> tuple[dict[int, float], float]:
-    """Logistic regression (Adam on the whole sample) on log2(1 + words that have a feature), over the features whose
-    presence goes with the label: {feature: weight}, bias. row, feature: one entry for each word's feature."""
-    key, count = np.unique(row.astype(np.int64) << BITS | feature, return_counts=True)
-    row, flat, value = key >> BITS, key & ((1 << BITS) - 1), np.log2(1 + count)
-    n, p = len(labels), labels.mean()
-    seen, toxic = np.bincount(flat, minlength=1 << BITS), np.bincount(flat, labels[row], minlength=1 << BITS)
-    z = (toxic - seen * p) / np.sqrt(seen * p * (1 - p) * (1 - seen / n) + 1e-9)
-    keep = ((seen >= 4) & (np.abs(z) >= LEAST_Z))[flat]
-    used, col = np.unique(flat[keep], return_inverse=True)
-    row, value = row[keep], value[keep]
+    """Logistic regression (Adam on the whole sample) on log2(1 + words that have a feature), over the features of at
+    least LEAST documents: {feature: weight}, bias. row, feature: one entry for each word's feature, row ascending. Arrays
+    of the entries are narrow, and made in blocks of documents where they have to be wide."""
+    n = len(labels)
+    cuts = np.searchsorted(row, np.append(np.arange(0, n, 500), n))
+    blocks = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        key, count = np.unique(row[a:b].astype(np.int64) << BITS | feature[a:b], return_counts=True)
+        blocks.append(((key >> BITS).astype(np.int32), (key & ((1 << BITS) - 1)).astype(np.int32), np.log2(1 + count).astype(np.float32)))
+    seen = sum(np.bincount(flat, minlength=1 << BITS) for _, flat, _ in blocks)
+    used = np.flatnonzero(seen >= LEAST)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    for k, (own, flat, value) in enumerate(blocks):
+        keep = place[flat] >= 0
+        blocks[k] = own[keep] - 500 * k, place[flat[keep]], value[keep]
     w, b = np.zeros(len(used)), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     weights = weights / weights.sum()
     for step in range(1, rounds + 1):
-        d = weights * (1 / (1 + np.exp(-np.clip(np.bincount(row, w[col] * value, n) + b, -40, 40))) - labels)
-        g = np.append(np.bincount(col, d[row] * value, len(used)) + PENALTY * w, d.sum())
+        g = np.append(PENALTY * w, 0.0)
+        for k, (own, col, value) in enumerate(blocks):
+            at = slice(500 * k, min(500 * (k + 1), n))
+            z = np.bincount(own, w[col] * value, at.stop - at.start) + b
+            d = weights[at] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[at])
+            g[:-1] += np.bincount(col, d[own] * value, len(used))
+            g[-1] += d.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
@@ -260,7 +271,7 @@ def score(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col:
         return docs.drop("score").withColumn("score", F.lit(0.0))
     words = rows.column("words").combine_chunks()
     words = words.take(pa.array(order))
-    at = np.repeat(np.arange(len(y)), np.diff(words.offsets.to_numpy()))
+    at = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(words.offsets.to_numpy()))
     share = np.array([sizes[0] / max(1, (y == 0).sum()), sizes[1] / max(1, (y == 1).sum())])  # as frequent as before sampling
     fitted = spark.sparkContext.broadcast(fit(at, words.flatten().to_numpy(), y, share[y.astype(int)]))
 

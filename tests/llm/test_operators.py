@@ -353,6 +353,16 @@ def test_every_disguise_is_decoded(spark):
     assert words.restorer.readings("plain,") == ("plain",) and len(words.restorer.decode("@$" * 20_000)) >= 20_000
 
 
+def test_rare_toxic_words_have_weight():
+    n, rare, common_word = 2500, 77, 5
+    toxic = np.arange(2 * n) < n
+    row = np.sort(np.concatenate([np.arange(2 * n), np.arange(8)]))  # 8 of 2500 toxic documents have the rare word
+    feature = np.full(len(row), common_word)
+    feature[1:16:2] = rare
+    w, b = toxicity.fit(row, feature, toxic.astype(float), np.ones(2 * n))
+    assert set(w) == {rare, common_word} and w[rare] > 0.5 and toxicity.SAMPLE >= 6000
+
+
 # the pipeline and the registered queries
 
 

@@ -5,8 +5,8 @@ character n-grams and the token's place in lexicons of frequent words; transitio
 that switch between languages. Forward-backward gives every token's distribution; a text's language is the one with
 the largest sum of them, its score the mean.
 
-Training takes at most SAMPLE documents of each language, and at most LANGUAGES languages, chosen by hash from the
-rows that are not held out: a documented bound. Prediction reads whole texts and nothing but the text. Chains are
+Training takes about SAMPLE documents of every language, whole, chosen by hash from the rows that are not held out: a
+documented bound. Prediction reads whole texts and nothing but the text. Chains are
 solved in stretches of STRETCH tokens with CONTEXT tokens around them, beyond which marginals no longer change.
 
 Defined edge cases: null texts and texts without a letter give `und` with score 0; rows without an id are predicted
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from . import common
 
 UNKNOWN = "und"
-#: Bounds of the training sample: documents of a language, characters of a document, languages.
-SAMPLE, SAMPLE_CHARS, LANGUAGES = 400, 4000, 64
+#: Bound of the training sample: documents of a language.
+SAMPLE = 400
 HASHED = 1 << 16
 LEXICON = 2000
 STRETCH, CONTEXT = 2048, 32
@@ -129,8 +129,9 @@ def train(docs: list[tuple[str, str]], rounds: int = 140, chains: int = 96, leng
     """Gradient ascent (Adam) on the conditional likelihood of chains cut from the documents, a third of them joined
     from two languages."""
     by: dict[str, list[list[str]]] = {}
+    one: dict[str, str] = {}  # equal tokens share their memory
     for text, lang in docs:
-        if ws := tokens(text):
+        if ws := [one.setdefault(w, w) for w in tokens(text)]:
             by.setdefault(lang, []).append(ws)
     labels = sorted(by)
     if not labels:
@@ -146,6 +147,7 @@ def train(docs: list[tuple[str, str]], rounds: int = 140, chains: int = 96, leng
     field, k = Field(labels, counts), len(labels)
     if k == 1:
         return field
+    chains = max(chains, 2 * k)  # so that each language is seen in every round
     rng = np.random.default_rng(seed)
     params = [field.weights, field.words, field.moves, field.start]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -236,17 +238,16 @@ class Tagger:
         return out
 
 
-def sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, each: int, chars: int) -> list[tuple[str, str]]:
-    """At most `each` documents of each language (LANGUAGES at most), chosen by hash of the id."""
+def sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, each: int) -> list[tuple[str, str]]:
+    """About `each` whole documents of every language, at most twice as many, chosen by hash of the id."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
+    counts = rows.groupBy(lang_col).count().collect()
     if not counts:
         return []
     spread = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30))
-    share = F.lit(None)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r[0], int(min(1.0, 1.2 * each / r["count"]) * (1 << 30)) + 1).otherwise(share)
-    got = rows.where(spread < share).select(F.substring(text_col, 1, chars).alias("t"), F.col(lang_col).alias("l"), F.col(id_col).alias("i")).limit(2 * each * len(counts)).collect()
+    shares = labelled.sparkSession.createDataFrame([(r[0], int(min(1.0, 1.2 * each / r["count"]) * (1 << 30)) + 1) for r in counts], "l string, share long")
+    rows = rows.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.col(id_col).alias("i"), spread.alias("spread"))
+    got = rows.join(F.broadcast(shares), "l").where(F.col("spread") < F.col("share")).select("t", "l", "i").limit(2 * each * len(counts)).collect()
     out, taken = [], {}
     for r in sorted(got, key=lambda r: (r["l"], r["i"], r["t"])):
         taken[r["l"]] = taken.get(r["l"], 0) + 1
@@ -255,9 +256,9 @@ def sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, each:
     return out
 
 
-def identify(docs: DataFrame, labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", each: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", each: int = SAMPLE) -> DataFrame:
     """docs with lang_pred and score, by a field trained on a sample of `labelled`."""
-    field = train(sample(labelled, text_col, lang_col, id_col, each, chars))
+    field = train(sample(labelled, text_col, lang_col, id_col, each))
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def make():

@@ -135,6 +135,17 @@ def test_language(spark, small, odd, empty):
     assert language.identify(odd, d.limit(0)).where("lang_pred <> 'und'").count() == 0 and language.identify(empty, d).count() == 0
 
 
+def test_every_language_and_whole_texts_are_learned(spark):
+    rng = np.random.default_rng(6)
+    names = [f"l{k:02}" for k in range(70)]
+    words = {n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)] for n in names}
+    heading = "foreign heading " * 300
+    rows = [(100 * k + i, (heading if n == "l00" else "") + " ".join(rng.choice(words[n], 300)), n) for k, n in enumerate(names) for i in range(6 - (k > 64))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.sample(df, "text", "lang", "doc_id", 400)
+    assert {lang for _, lang in got} == set(names) and all(len(t) > len(heading) for t, lang in got if lang == "l00")
+
+
 def test_forward_backward_equals_enumeration():
     import itertools
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,28 +18,73 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (tests) gets
+    a temporary folder; a cluster has none that all can read, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if named is None:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="meteolith-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
     return named
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder (a folder for each value of `by`) and read it again: cuts lineage,
+    survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._table_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables materialised within are deleted at its end, except those passed to the function it gives."""
+    _SCOPES.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        made = _SCOPES.pop()
+        if _SCOPES:
+            _SCOPES[-1].extend(kept)
+        for df in made:
+            if not any(df is k for k in kept):
+                release(df)
+
+
+#: Most rows of a membership table, of 64 places each.
+PLACES = 1 << 21
+
+
+def maybe_in(df: DataFrame, key: Column, ids: DataFrame, id_key: Column, name: str = "__maybe") -> DataFrame:
+    """df with a boolean: false only where the key is surely not among ids. A bitmap of hashes, 16 places for each id
+    and PLACES rows at most, is broadcast; a fuller one is still right and only lets more rows pass."""
+    words = 1 << min(PLACES.bit_length() - 1, max(6, (ids.count() // 4).bit_length()))
+    place = lambda k: F.pmod(F.xxhash64(k, F.lit(29)), F.lit(64 * words))
+    bits = ids.select(place(id_key).alias("p")).groupBy(F.shiftright("p", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, int(p & 63)))").alias("__bits"))
+    out = df.withColumn("__place", place(key)).withColumn("__word", F.shiftright("__place", 6)).join(F.broadcast(materialise(bits)), "__word", "left")
+    hit = F.expr("shiftright(__bits, int(__place & 63)) & 1") == 1
+    return out.withColumn(name, F.coalesce(hit, F.lit(False))).drop("__place", "__word", "__bits")
+
+
+def rows_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose `column` is among ids (one column of that name): only they, and a few others, are shuffled."""
+    return maybe_in(df, F.col(column), ids, F.col(column)).where("__maybe").drop("__maybe").join(ids, column, "left_semi")
+
+
 def release(df: DataFrame) -> None:
     """Delete what materialise() wrote, once nothing reads it any more."""
     path = getattr(df, "_table_path", None)

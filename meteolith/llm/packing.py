@@ -177,7 +177,8 @@ def place(items: DataFrame, blocks: int, size: int) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, block: int = BLOCK) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = common.materialise(tokenise(docs, tokenizer_path, id_col=id_col, text_col=text_col, size=size)).withColumn("n", F.monotonically_increasing_id())
+    # Row numbers are written down with the rows: made on a read, they would change with how the read is split.
+    pieces = common.materialise(tokenise(docs, tokenizer_path, id_col=id_col, text_col=text_col, size=size).withColumn("n", F.monotonically_increasing_id()))
     small = pieces.where(F.col("length") < size).select("n", "length")
     first = common.materialise(place(small, max(1, -(-small.count() // block)), size).join(small, "n"))
     # Bins left with a notable gap become items of a second round, in blocks of the same size.

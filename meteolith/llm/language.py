@@ -5,11 +5,12 @@ character n-grams and the token's place in lexicons of frequent words; transitio
 that switch between languages. Forward-backward gives every token's distribution; a text's language is the one with
 the largest sum of them, its score the mean.
 
-Training takes about SAMPLE documents of every language, whole, chosen by hash from the rows that are not held out: a
-documented bound. Prediction reads whole texts and nothing but the text. Chains are
-solved in stretches of STRETCH tokens with CONTEXT tokens around them, beyond which marginals no longer change.
+Training takes at most SAMPLE documents of every language, whole, chosen by hash from the rows that are not held out:
+a documented bound on rows; languages are not bounded. Prediction reads whole texts and nothing but the text. Chains
+are solved in stretches of STRETCH tokens with CONTEXT tokens around them, beyond which marginals no longer change.
+label_words() gives the labels of the words themselves.
 
-Defined edge cases: null texts and texts without a letter give `und` with score 0; rows without an id are predicted
+Defined edge cases: null texts and texts without a letter give `und` with score 0 (no words); rows without an id are predicted
 too and never trained on; repeated rows are predicted alike; without any labelled row every text is `und`; columns
 that clash with a result column are replaced.
 """
@@ -21,14 +22,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
 UNKNOWN = "und"
-#: Bound of the training sample: documents of a language.
+#: Bound of the training sample: documents of a language at most.
 SAMPLE = 400
 HASHED = 1 << 16
 LEXICON = 2000
@@ -42,7 +43,8 @@ _M1, _M2, _M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE
 
 
 def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall(text.lower()) if text else []
+    """Lower-case words of a text; signs such as fractions and circled digits, which are no letters, make none."""
+    return [t for t in _TOKEN.findall(text.lower()) if t.isalpha() or any(map(str.isalpha, t))] if text else []
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,13 +211,13 @@ class Tagger:
             self.rows = np.concatenate([self.rows, *(self.field.emissions(new[i : i + 50_000]) for i in range(0, len(new), 50_000))])
         return self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
-    def marginals(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(sum of the tokens' distributions, number of tokens) for each text."""
-        n = np.array([len(t) for t in texts])
+    def distributions(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's distribution over the languages, all texts one after another, and each token's text."""
+        n = np.array([len(t) for t in texts], np.int64)
         e = self.lookup(list(itertools.chain.from_iterable(texts)))
+        if not n.sum():
+            return np.zeros((0, len(self.field.labels))), np.empty(0, np.int64)
         doc_start = np.cumsum(n) - n
-        if len(n) == 0 or not n.sum():
-            return np.zeros((len(n), e.shape[1])), n
         pieces = -(-n // STRETCH)
         doc = np.repeat(np.arange(len(n)), pieces)
         within = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -226,8 +228,26 @@ class Tagger:
         p, _, _ = forward_backward(e[at], size, self.field.moves, self.field.start)
         offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
         counted = (offset >= np.repeat(a, size)) & (offset < np.repeat(b, size))
-        owner = np.repeat(doc, size)[counted]
-        return np.stack([np.bincount(owner, p[counted, c], len(n)) for c in range(p.shape[1])], axis=1), n
+        return p[counted], np.repeat(doc, size)[counted]
+
+    def marginals(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of the tokens' distributions, number of tokens) for each text."""
+        n = np.array([len(t) for t in texts], np.int64)
+        p, owner = self.distributions(texts)
+        return np.stack([np.bincount(owner, p[:, c], len(n)) for c in range(len(self.field.labels))], axis=1), n
+
+    def label(self, texts: list[str | None]) -> list[list[tuple[str, str, float]]]:
+        """(word, language, probability) of every word of each text."""
+        out: list[list[tuple[str, str, float]]] = []
+        for a, b in common.slices(texts, 1_000_000):
+            parts = [tokens(t) for t in texts[a:b]]
+            p, _ = self.distributions(parts)
+            best, at = p.argmax(axis=1), 0
+            for words in parts:
+                some = range(at, at + len(words))
+                out.append([(w, self.field.labels[best[i]], float(p[i, best[i]])) for w, i in zip(words, some, strict=True)])
+                at += len(words)
+        return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
@@ -239,42 +259,51 @@ class Tagger:
 
 
 def sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, each: int) -> list[tuple[str, str]]:
-    """About `each` whole documents of every language, at most twice as many, chosen by hash of the id."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().collect()
-    if not counts:
-        return []
-    spread = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30))
-    shares = labelled.sparkSession.createDataFrame([(r[0], int(min(1.0, 1.2 * each / r["count"]) * (1 << 30)) + 1) for r in counts], "l string, share long")
-    rows = rows.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.col(id_col).alias("i"), spread.alias("spread"))
-    got = rows.join(F.broadcast(shares), "l").where(F.col("spread") < F.col("share")).select("t", "l", "i").limit(2 * each * len(counts)).collect()
-    out, taken = [], {}
-    for r in sorted(got, key=lambda r: (r["l"], r["i"], r["t"])):
-        taken[r["l"]] = taken.get(r["l"], 0) + 1
-        if taken[r["l"]] <= 2 * each:
-            out.append((r["t"], r["l"]))
-    return out
+    """At most `each` whole documents of every language: those of the smallest hash of id and text."""
+    rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.col(id_col).alias("i")).where("t is not null and l is not null and i is not null")
+    counts = rows.groupBy("l").count()
+    spread = F.pmod(F.xxhash64("i", "t", F.lit(11)), F.lit(1 << 30))
+    # About 1.5 times as many as wanted come through the scan; the window, which drops the rest before it shuffles, is exact.
+    shares = counts.select("l", (F.least(F.lit(1.0), F.lit(1.5 * each) / F.col("count") + F.lit(30.0) / F.col("count")) * (1 << 30)).cast("long").alias("share"))
+    order = Window.partitionBy("l").orderBy("spread", "i")
+    got = rows.withColumn("spread", spread).join(common.materialise(shares), "l").where("spread <= share")
+    got = got.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("t", "l", "spread", "i").collect()
+    return [(r["t"], r["l"]) for r in sorted(got, key=lambda r: (r["l"], r["spread"], r["i"], r["t"]))]
+
+
+def _tagged(docs: DataFrame, labelled: DataFrame, text_col: str, lang_col: str, id_col: str, each: int, fields: list[T.StructField], f, none: list) -> DataFrame:
+    """docs with the columns that f(tagger, texts) gives; without any learned language, the values of `none`."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(sample(labelled, text_col, lang_col, id_col, each)))
+
+    def make():
+        tagger = Tagger(shared.value) if shared.value else None
+
+        def g(batch: pa.RecordBatch) -> list:
+            texts = batch.column(text_col).to_pylist()
+            return f(tagger, texts) if tagger and texts else [[x] * len(texts) for x in none]
+
+        return g
+
+    return common.append_columns(docs, make, fields)
 
 
 def identify(docs: DataFrame, labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", each: int = SAMPLE) -> DataFrame:
     """docs with lang_pred and score, by a field trained on a sample of `labelled`."""
-    field = train(sample(labelled, text_col, lang_col, id_col, each))
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    return _tagged(docs, labelled, text_col, lang_col, id_col, each, FIELDS, lambda tagger, texts: list(zip(*tagger.predict(texts), strict=True)), [UNKNOWN, 0.0])
 
-    def make():
-        tagger = Tagger(shared.value) if shared.value else None
 
-        def f(batch: pa.RecordBatch) -> list:
-            texts = batch.column(text_col).to_pylist()
-            return list(zip(*tagger.predict(texts), strict=True)) if tagger and texts else [[UNKNOWN] * len(texts), [0.0] * len(texts)]
+def label_words(docs: DataFrame, labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", each: int = SAMPLE) -> DataFrame:
+    """docs with words: array<struct<word, lang, p>>, the label of every word of code-switched text, in text order."""
+    word = T.StructType([T.StructField("word", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("p", T.DoubleType())])
 
-        return f
+    def f(tagger: Tagger, texts: list[str | None]) -> list:
+        return [[[dict(zip(word.names, w, strict=True)) for w in words] for words in tagger.label(texts)]]
 
-    return common.append_columns(docs, make, FIELDS)
+    return _tagged(docs, labelled, text_col, lang_col, id_col, each, [T.StructField("words", T.ArrayType(word))], f, [[]])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     part = common.doc_bucket("doc_id", 3)
     found = identify(docs.select("doc_id", "text"), docs.where(part != 1))
-    return found.select("doc_id", (part == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -294,4 +294,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     part = common.doc_bucket("doc_id", 5)
     found = score(docs, common.read(spark, sf_dir, "labels").select("doc_id", "toxic").where(part != 0))
-    return found.select("doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -1,26 +1,29 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of character n-grams.
 
 Trusted texts (label 1) give counts of n-grams up to ORDER characters; counts are summed, continued into lower orders
-and joined with their contexts' totals in the cluster, sharded by n-gram, with three discounts for each order. Every
-document's perplexity is then the mean over all its characters; the threshold is, for each language, a quantile of
-the trusted documents' own perplexities.
+and joined with their contexts' totals in the cluster, sharded by n-gram, with three discounts for each order. One
+trusted document in HELD, by hash of its id, is not counted: for each language the threshold is a quantile of the
+perplexities of these, which the model has not seen. Every document's perplexity is the mean over all its characters.
 
-A model of at most MODEL_ROWS n-grams (its rows are counted) is shipped to the workers; a larger one stays in shards
-and the documents' distinct n-grams are joined with it. Both ways give the same perplexities.
+The model is dealt over shards of about SHARD rows, at every size alike. Each shard is a broadcast of its own; a worker
+gathers the distinct n-grams of a bounded stretch of texts, looks them up in one shard after another, holding one at a
+time, and then interpolates. (Joining every document's n-grams with the shards instead would shuffle some ten bytes
+for each character of the corpus.)
 
 Defined edge cases: null and empty texts have no characters, perplexity null, and are not kept; null languages form a
-group of their own; a language without trusted documents gets the quantile over all trusted ones; without trusted
-documents every threshold is null and every text with characters is kept; repeated rows are scored alike; labels
-without an id are ignored, conflicting labels of one id count as trusted.
+group of their own; a language without held-back trusted documents gets the quantile over all of them; without any the
+threshold is null and every text with characters is kept; repeated rows are scored alike; labels without an id are
+ignored, conflicting labels of one id count as trusted.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -28,9 +31,12 @@ from . import common
 ORDER = 5
 #: Bits of a character in an n-gram's key; rarer characters share the codes above 0x24F.
 CHAR_BITS = 12
-#: Quantile of the trusted documents' perplexities, and the slack on it.
-QUANTILE, SLACK = 0.98, 1.15
-MODEL_ROWS = 4_000_000
+#: Quantile of the held-back trusted documents' perplexities; one trusted document in HELD is held back.
+QUANTILE, HELD = 0.98, 4
+#: Rows of a shard of the model, about; characters of texts whose n-grams are looked up at once.
+SHARD, STRETCH = 1_000_000, 2_000_000
+#: Width of the steps of ln perplexity in which quantiles are counted.
+STEP = 0.0005
 _SPACE = 32
 
 
@@ -98,61 +104,92 @@ def model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         probabilities.append(below.select(F.lit(n).alias("order"), "key", "p"))
         weights.append(ctx.select(F.lit(n).alias("order"), "ctx", "gamma"))
     empty = spark.createDataFrame([], "order int, key long, p double")
-    union = lambda xs, e: __import__("functools").reduce(DataFrame.unionByName, xs, e)
+    union = lambda xs, e: functools.reduce(DataFrame.unionByName, xs, e)
     return union(probabilities, empty), common.materialise(union(weights, spark.createDataFrame([], "order int, ctx long, gamma double")))
 
 
-class Scorer:
-    """Log probabilities by binary search in sorted keys of each order."""
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return (key ^ (key >> 17) ^ (key >> 31)) % shards
 
-    def __init__(self, probabilities: dict[int, tuple[np.ndarray, np.ndarray]], weights: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.probabilities, self.weights = probabilities, weights
 
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], key: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = table
-        if not len(keys):
-            return np.zeros(len(key), bool), np.full(len(key), missing)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = keys[at] == key
-        return hit, np.where(hit, values[at], missing)
-
-    def __call__(self, key: np.ndarray) -> np.ndarray:
-        p = np.full(len(key), 1.0 / (1 << CHAR_BITS))
-        for n in range(1, ORDER + 1):
-            own = key & ((1 << CHAR_BITS * n) - 1)
-            _, gamma = self._find(self.weights[n], own >> CHAR_BITS, 1.0)
-            hit, seen = self._find(self.probabilities[n], own, 0.0)
-            p = np.where(hit, seen, gamma * p)
-        return np.log(p)
-
-
-def _tables(df: DataFrame, key: str, value: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    t = df.toArrow()
-    order, keys, values = (t.column(c).to_numpy() for c in ("order", key, value))
-    out = {}
+def keyed(probabilities: DataFrame, weights: DataFrame) -> DataFrame:
+    """key, value: n-grams' probabilities under (order << 60) + n-gram, contexts' weights under (6 << 60) + (order << 48) + context."""
+    p = probabilities.select((F.shiftleft(F.col("order").cast("long"), 60) + F.col("key")).alias("key"), F.col("p").alias("value"))
+    w = weights.select((F.lit(6 << 60) + F.shiftleft(F.col("order").cast("long"), 48) + F.col("ctx")).alias("key"), F.col("gamma").alias("value"))
+    return p.unionByName(w)
+
+
+def lookups(key: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order, the distinct model keys of the n-grams' endings and contexts and where each n-gram finds its own."""
+    out = []
     for n in range(1, ORDER + 1):
-        k, v = keys[order == n], values[order == n]
-        at = np.argsort(k)
-        out[n] = (k[at], v[at])
+        own = key & ((1 << CHAR_BITS * n) - 1)
+        out.append(np.unique((n << 60) + own, return_inverse=True))
+        out.append(np.unique((6 << 60) + (n << 48) + (own >> CHAR_BITS), return_inverse=True))
+    return out
+
+
+def log_probabilities(key: np.ndarray, shards: list) -> np.ndarray:
+    """ln p of distinct n-grams; shards: functions that give (sorted keys, values)."""
+    wanted = lookups(key)
+    found = [np.full(len(k), np.nan) for k, _ in wanted]
+    of = [_shard(k, len(shards)) for k, _ in wanted]
+    for s, load in enumerate(shards):
+        keys, values = load()
+        if not len(keys):
+            continue
+        for (k, _), out, own in zip(wanted, found, of, strict=True):
+            at = np.flatnonzero(own == s)
+            place = np.minimum(np.searchsorted(keys, k[at]), len(keys) - 1)
+            hit = keys[place] == k[at]
+            out[at[hit]] = values[place[hit]]
+    p = np.full(len(key), 1.0 / (1 << CHAR_BITS))
+    for n in range(ORDER):
+        seen, gamma = (found[2 * n + i][wanted[2 * n + i][1]] for i in range(2))
+        p = np.where(np.isnan(seen), np.where(np.isnan(gamma), 1.0, gamma) * p, seen)
+    return np.log(p)
+
+
+def share(table: DataFrame) -> list:
+    """One broadcast of sorted keys and values for each shard of the model; the driver holds one at a time."""
+    spark = table.sparkSession
+    shards = (table.count() // SHARD) | 1
+    k = F.col("key")
+    own = (k.bitwiseXOR(F.shiftright(k, 17)).bitwiseXOR(F.shiftright(k, 31)) % shards).alias("shard")
+    path = common.materialise(table.select("key", "value", own), by=["shard"])
+    out = []
+    for s in range(shards):
+        t = path.where(F.col("shard") == s).select("key", "value").toArrow()
+        keys, values = t.column("key").to_numpy(), t.column("value").to_numpy()
+        at = np.argsort(keys)
+        out.append(spark.sparkContext.broadcast((keys[at], values[at])))
     return out
 
 
-def _in_workers(docs: DataFrame, text_col: str, probabilities: DataFrame, weights: DataFrame) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Scorer(_tables(probabilities, "key", "p"), _tables(weights, "ctx", "gamma")))
+def _loader(shared):
+    def load():
+        value = shared.value
+        shared.__dict__.pop("_value", None)  # the next shard takes its place
+        return value
+
+    return load
+
+
+def score(docs: DataFrame, text_col: str, shared: list) -> DataFrame:
+    """docs with n (characters) and logp (their sum)."""
     from pyspark.sql import types as T
 
     def make():
-        score = shared.value
+        loaders = [_loader(s) for s in shared]
 
         def f(batch: pa.RecordBatch) -> list:
             column = batch.column(text_col).to_pylist()
             n, total = [], []
-            for a, b in common.slices(column, 1_000_000):
+            for a, b in common.slices(column, STRETCH):
                 parts = [grams(codes(t)) for t in column[a:b]]
                 size = np.array([len(p) for p in parts])
                 key, back = np.unique(np.concatenate(parts), return_inverse=True)
-                sums = np.bincount(np.repeat(np.arange(len(parts)), size), score(key)[back], len(parts)) if len(key) else np.zeros(len(parts))
+                sums = np.bincount(np.repeat(np.arange(len(parts)), size), log_probabilities(key, loaders)[back], len(parts)) if len(key) else np.zeros(len(parts))
                 n += size.tolist()
                 total += sums.tolist()
             return [n, total]
@@ -162,42 +199,27 @@ def _in_workers(docs: DataFrame, text_col: str, probabilities: DataFrame, weight
     return common.append_columns(docs, make, [T.StructField("n", T.LongType()), T.StructField("logp", T.DoubleType())])
 
 
-def _in_shards(docs: DataFrame, text_col: str, probabilities: DataFrame, weights: DataFrame) -> DataFrame:
-    """The same by joins: distinct n-grams of all documents are scored once, order by order, and joined back."""
-    docs = common.materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key, n = np.unique(grams(codes(text)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), row)), pa.array(key), pa.array(n)], names=["__row", "key", "c"])
-
-    own = common.materialise(docs.select("__row", text_col).mapInArrow(run, "__row long, key long, c long"))
-    scored = own.select("key").distinct().withColumn("p", F.lit(1.0 / (1 << CHAR_BITS)))
-    for n in range(1, ORDER + 1):
-        part = F.col("key").bitwiseAND(F.lit((1 << CHAR_BITS * n) - 1))
-        w = weights.where(F.col("order") == n).select(F.col("ctx").alias("x"), "gamma")
-        q = probabilities.where(F.col("order") == n).select(F.col("key").alias("k"), F.col("p").alias("seen"))
-        scored = scored.withColumn("k", part).withColumn("x", F.shiftright(part, CHAR_BITS)).join(w, "x", "left").join(q, "k", "left")
-        scored = common.materialise(scored.select("key", F.coalesce("seen", F.coalesce("gamma", F.lit(1.0)) * F.col("p")).alias("p")))
-    sums = own.join(scored, "key").groupBy("__row").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.ln("p")).alias("logp"))
-    return docs.join(sums, "__row", "left").drop("__row").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+def quantiles(values: DataFrame, by: list[str], q: float) -> DataFrame:
+    """by, threshold: the upper edge of the step of ln perplexity in which the quantile lies. Steps are counted exactly
+    and there are at most ln(2 ** CHAR_BITS) / STEP of them, so neither order nor size of the data matters."""
+    steps = values.withColumn("__step", F.ceil(F.ln("perplexity") / STEP)).groupBy(*by, "__step").agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy(*by).orderBy("__step")
+    steps = steps.withColumn("__upto", F.sum("__n").over(upto)).withColumn("__all", F.sum("__n").over(Window.partitionBy(*by)))
+    return steps.where(F.col("__upto") >= q * F.col("__all")).groupBy(*by).agg(F.exp(F.min("__step") * STEP).alias("threshold"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, model_rows: int = MODEL_ROWS) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, held: int = HELD) -> DataFrame:
     """id, lang, n_chars, perplexity, threshold, kept. `trusted`: the ids of trusted documents."""
-    ids = trusted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
+    back = common.doc_bucket("id", held) == 0
+    ids = common.materialise(trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct())
     marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    probabilities, weights = model(count(marked.join(ids.hint("merge"), F.col("id") == F.col("__id"), "left_semi"), "text"))
-    score = _in_workers if probabilities.count() <= model_rows else _in_shards
-    scored = score(marked, "text", probabilities, weights)
-    scored = scored.select("id", "lang", F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
-    scored = common.materialise(scored)
-    own = scored.join(ids, F.col("id") == F.col("__id"), "left_semi").where("perplexity is not null")
-    limits = own.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
-    overall = own.agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("t")).first()["t"]
-    limits = limits.withColumnRenamed("lang", "__lang")
-    out = scored.join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double")))
+    probabilities, weights = model(count(common.rows_in(marked, "id", ids.where(~back)), "text"))
+    scored = score(marked, "text", share(keyed(probabilities, weights)))
+    scored = common.materialise(scored.select("id", "lang", F.col("n").alias("n_chars"), F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity")))
+    own = common.materialise(scored.where("perplexity is not null").join(ids.where(back), "id", "left_semi").select("lang", "perplexity"))
+    limits = quantiles(own, ["lang"], quantile).withColumnRenamed("lang", "__lang")
+    overall = quantiles(own.withColumn("one", F.lit(1)), ["one"], quantile).select(F.col("threshold").alias("__overall"), F.lit(True).alias("__one"))
+    out = scored.join(F.broadcast(overall), F.col("__one"), "left").join(limits, F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("threshold", F.coalesce("threshold", "__overall"))
     return out.select("id", "lang", "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.col("perplexity").isNotNull()).alias("kept"))
 
 

@@ -8,7 +8,8 @@ sidebars, notices, adverts, forms, comments, scripts and styles are left out by
 
 Defined edge cases: null and empty pages give the empty text; pages without tags give their own text; truncated tags,
 comments and character references at the end are markup; urls that are null or have no host share one host; repeated
-rows are extracted alike; columns that clash with a result column are replaced.
+rows are extracted alike; time and memory grow with a page's length alone, however deep it is nested; columns that
+clash with a result column are replaced.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ KEPT_ALWAYS = {"html", "body", "article", "main"}
 _SPLIT = re.compile(r"[\s_-]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _CLOSES_P = BLOCK - {"br"}
+_WALLS = CONTAINER | LEFT_OUT
 DECAY, BONUS = 0.9, 1.5
 FIELDS = [T.StructField("path", T.StringType()), T.StructField("score", T.DoubleType())]
 
@@ -60,19 +62,36 @@ def _describe(tag: str, attrs: str) -> tuple[str, bool]:
                 marked = True
             if key == "class":
                 names += sorted(value.split())[:3]
-    return re.sub(r"\d+", "#", ".".join([tag, *names])), out or (marked and tag not in KEPT_ALWAYS)
+    return re.sub(r"\d+", "#", ".".join([tag, *names])).replace(">", "#"), out or (marked and tag not in KEPT_ALWAYS)
 
 
 class Page:
-    """Containers (path, last container inside, parent) and text events (container, text, in a link; None: a break)."""
+    """Containers (name, parent, kind of path) and text events (container, text, in a link; None: a break).
+
+    Paths are interned as (path of the parent, name), so deep nesting takes memory in proportion to the page; open
+    elements are found by their tag's own list of places, so time is in proportion too."""
 
     def __init__(self, source: str):
-        self.paths, self.parents, self.last, self.tags = [""], [-1], [0], ["html"]
+        self.names, self.parents, self.tags, self.kinds = [""], [-1], ["html"], [0]
+        self.interned: dict[tuple[int, str], int] = {}
         self.events: list[tuple[int, str | None, bool]] = []
         stack: list[tuple[str, int, int, bool]] = []  # tag, container, links open, left out
+        places: dict[str, list[int]] = {}  # places in the stack, by tag
+        walls: list[int] = []  # places of elements that an open paragraph does not reach beyond
         node, links, out = 0, 0, False
         pos, n = 0, len(source)
         match = _TOKEN.match
+
+        def close(k: int) -> tuple[int, int, bool]:
+            """Pop all from place k on."""
+            _, *before = stack[k]
+            for tag, *_ in reversed(stack[k:]):
+                places[tag].pop()
+                if tag in _WALLS:
+                    walls.pop()
+            del stack[k:]
+            return tuple(before)
+
         while pos < n:
             m = match(source, pos)
             pos = m.end()
@@ -86,10 +105,8 @@ class Page:
                 continue
             tag = tag.lower()
             if m["end"]:
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-                if k >= 0:
-                    _, node, links, out = stack[k]
-                    del stack[k:]
+                if places.get(tag):
+                    node, links, out = close(places[tag][-1])
                 if tag in BLOCK:
                     self.events.append((node, None, False))
                 continue
@@ -99,32 +116,27 @@ class Page:
                 continue
             if tag in BLOCK:
                 self.events.append((node, None, False))
-            if tag in _CLOSES_P:
+            if tag in _CLOSES_P and places.get("p") and places["p"][-1] > (walls[-1] if walls else -1):
                 # A block ends an open paragraph and what is still open inside it.
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] in CONTAINER or stack[i][0] in LEFT_OUT), -1)
-                if k >= 0 and stack[k][0] == "p":
-                    _, node, links, out = stack[k]
-                    del stack[k:]
+                node, links, out = close(places["p"][-1])
             if tag in VOID:
                 continue
-            attrs = m["attrs"]
+            if tag in _WALLS:
+                walls.append(len(stack))
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, node, links, out))
-            name, drop = _describe(tag, attrs)
+            name, drop = _describe(tag, m["attrs"])
             if not out and not drop and tag in CONTAINER:
-                self.paths.append(f"{self.paths[node]}>{name}")
+                self.kinds.append(self.interned.setdefault((self.kinds[node], name), len(self.interned) + 1))
+                self.names.append(name)
                 self.parents.append(node)
                 self.tags.append(tag)
-                self.last.append(0)
-                node = len(self.paths) - 1
+                node = len(self.names) - 1
             out = out or drop
             links += tag == "a"
-        for i in range(len(self.paths) - 1, -1, -1):
-            self.last[i] = max(self.last[i], i)
-            if self.parents[i] >= 0:
-                self.last[self.parents[i]] = max(self.last[self.parents[i]], self.last[i])
 
     def best(self) -> tuple[int, float]:
-        score = [0.0] * len(self.paths)
+        score = [0.0] * len(self.names)
         for node, text, link in self.events:
             if text and not link:
                 score[node] += len(text) - text.count(" ") if not text.isspace() else 0
@@ -134,21 +146,35 @@ class Page:
         k = max(range(len(value)), key=lambda i: (value[i], -i))
         return k, value[k]
 
+    def path(self, i: int) -> str:
+        """The generalised path of a container."""
+        names = []
+        while i > 0:
+            names.append(self.names[i])
+            i = self.parents[i]
+        return "".join(f">{x}" for x in reversed(names))
+
+    def _within(self, path: str) -> list[bool]:
+        """Which containers have the path or are inside one that has it."""
+        kind = 0
+        for name in path.split(">")[1:]:
+            kind = self.interned.get((kind, name), -1)
+        inside = [kind == 0]
+        for own, parent in zip(self.kinds[1:], self.parents[1:], strict=True):
+            inside.append(own == kind or inside[parent])
+        return inside
+
     def text(self, path: str | None) -> str:
         """Text of the containers with that path, else of the page's best container."""
-        chosen = [i for i, p in enumerate(self.paths) if p == path]
-        if not chosen or not any(self._has_text(i) for i in chosen):
-            chosen = [self.best()[0]]
-        spans, upto = [], -1
-        for i in chosen:
-            if i > upto:
-                spans.append((i, upto := self.last[i]))
-        parts = [" " if t is None else html.unescape(t) for n, t, _ in self.events if any(a <= n <= b for a, b in spans)]
+        inside = self._within(path) if path is not None else []
+        if not any(inside) or not any(t and not t.isspace() and inside[n] for n, t, _ in self.events):
+            k = self.best()[0]
+            inside = [i == k for i in range(len(self.names))]
+            for i in range(k + 1, len(inside)):
+                inside[i] = inside[self.parents[i]]
+        parts = [" " if t is None else html.unescape(t) for n, t, _ in self.events if inside[n]]
         return " ".join("".join(parts).split())
 
-    def _has_text(self, i: int) -> bool:
-        return any(t and not t.isspace() and i <= n <= self.last[i] for n, t, _ in self.events)
-
 
 def extract(pages: DataFrame, *, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """pages with host, path (the host's winner) and text."""
@@ -160,7 +186,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", url_col: str = "url") -
             for source in batch.column(0).to_pylist():
                 page = Page(source or "")
                 k, score = page.best()
-                found.append((page.paths[k], score))
+                found.append((page.path(k), score))
             return list(map(list, zip(*found, strict=True))) if found else [[], []]
 
         return f

@@ -42,6 +42,7 @@ class Boosted:
 
     def __init__(self, trees: list, rate: float, bias: float, a: float = 1.0, b: float = 0.0):
         self.trees, self.rate, self.bias, self.a, self.b = trees, rate, bias, a, b
+        self.held = np.empty(0, bool)  # rows of the fitted table that grew no tree
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.bias + self.rate * sum((_value(t, x) for t in self.trees), np.zeros(len(x)))
@@ -60,11 +61,12 @@ class Boosted:
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, rate: float = 0.3, least: float = 1.0, seed: int = 5) -> Boosted:
-    """Grown on two thirds of the rows, calibrated on the rest."""
+    """Grown on two thirds of the rows, calibrated on the rest (`held`)."""
     hold = np.random.default_rng(seed).random(len(y)) < 1 / 3
     gx, gy, cx, cy = x[~hold], y[~hold].astype(float), x[hold], y[hold].astype(float)
     share = min(max(gy.mean(), 1e-3), 1 - 1e-3)
     model = Boosted([], rate, math.log(share / (1 - share)))
+    model.held = hold
     f = np.full(len(gy), model.bias)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-f))

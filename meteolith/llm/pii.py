@@ -60,9 +60,12 @@ CUES = {
 #: Words before a number that speak against personal data.
 AGAINST = r"(?i)(?:order|invoice|version|serial|isbn|part|ref|id|no\.|batch|build|ticket|token|hash|code)\W*$"
 CONTEXT = 30
+#: Matches whose offsets are added up in one go.
+STRETCH = 128
 #: Precision that thresholds keep on examples not used for growing trees.
 PRECISION = 0.99
-NONE = "cast(array() as array<struct<start:int,end:int,s:string>>)"
+SPAN_LIST = "array<struct<start:int,end:int,s:string,before:string>>"
+NONE = f"cast(array() as {SPAN_LIST})"
 FEATURES = ["f_len", "f_digits", "f_seps", "f_parens", "f_luhn", "f_same", "f_cue", "f_against", "f_word", "f_form", "f_tail", "f_zero"]
 
 
@@ -71,17 +74,23 @@ def _quoted(pattern: str) -> str:
 
 
 def found(text: str, pattern: str) -> str:
-    """SQL: all matches as array<struct<start, end, s>>, in code points; text is an SQL expression of a column.
+    """SQL: all matches as array<struct<start, end, s, before>>, in code points; text is an SQL expression of a column,
+    before are up to CONTEXT characters ahead of the match (from the stretch it is in).
 
-    What stands between the matches (split) and the matches alternate, so their lengths add up to the offsets."""
+    What stands between the matches (split) and the matches alternate, so their lengths add up to the offsets. An array
+    is copied with each element that is added, so offsets are made within stretches of STRETCH matches and then moved."""
     p = _quoted(pattern)
-    gap = "length(a.g[size(a.out)])"
-    return f"""CASE WHEN {text} RLIKE {p} THEN aggregate(
-        regexp_extract_all({text}, {p}, 0),
-        named_struct('g', split({text}, {p}, -1), 'at', 0, 'out', {NONE}),
-        (a, s) -> named_struct('g', a.g, 'at', a.at + {gap} + length(s),
-            'out', concat(a.out, array(named_struct('start', a.at + {gap}, 'end', a.at + {gap} + length(s), 's', s)))),
-        a -> a.out) ELSE {NONE} END"""
+    gap, match = "b.g[i - 1]", "b.m[i - 1]"
+    before = f"right(concat(a.tail, {gap}), {CONTEXT})"
+    near = f"""aggregate(sequence(1, size(b.m)), named_struct('at', 0, 'tail', '', 'out', {NONE}),
+            (a, i) -> named_struct('at', a.at + length({gap}) + length({match}), 'tail', right(concat({before}, {match}), {CONTEXT}), 'out', concat(a.out, array(named_struct(
+                'start', a.at + length({gap}), 'end', a.at + length({gap}) + length({match}), 's', {match}, 'before', {before})))))"""
+    stretches = f"""transform(transform(sequence(0, (size(x.m) - 1) div {STRETCH}),
+            i -> named_struct('m', slice(x.m, i * {STRETCH} + 1, {STRETCH}), 'g', slice(x.g, i * {STRETCH} + 1, {STRETCH}))), b -> {near})"""
+    moved = "transform(b.out, y -> named_struct('start', y.start + a.at, 'end', y.end + a.at, 's', y.s, 'before', y.before))"
+    return f"""CASE WHEN {text} RLIKE {p} THEN flatten(transform(array(named_struct('m', regexp_extract_all({text}, {p}, 0), 'g', split({text}, {p}, -1))),
+        x -> aggregate({stretches}, named_struct('at', 0, 'out', cast(array() as array<{SPAN_LIST}>)),
+            (a, b) -> named_struct('at', a.at + b.at, 'out', concat(a.out, array({moved}))), a -> flatten(a.out)))) ELSE {NONE} END"""
 
 
 def luhn(digits: str) -> str:
@@ -111,9 +120,7 @@ def proposals(df: DataFrame, text: str) -> DataFrame:
     parts = []
     for i, k in enumerate(KINDS):
         for pattern in PROPOSED[k]:
-            before = f"substr({text}, greatest(x.start - {CONTEXT}, 0) + 1, least(x.start, {CONTEXT}))"
-            body = f"transform({found(text, pattern)}, x -> named_struct('kind', {i}, 'start', x.start, 'end', x.end, 's', x.s, 'before', {before}))"
-            parts.append(f"transform({body}, x -> {_features(k, i)})")
+            parts.append(f"transform({found(text, pattern)}, x -> {_features(k, i)})")
     kind = "array<struct<kind:int,start:int,end:int," + ",".join(f"{f}:double" for f in FEATURES) + ">>"
     return df.withColumn("__proposed", F.expr(f"cast(concat({', '.join(parts)}) as {kind})"))
 
@@ -182,7 +189,7 @@ _MODELS: dict[int, list[tuple[boost.Boosted, float]]] = {}
 
 
 def models(spark: SparkSession) -> list[tuple[boost.Boosted, float]]:
-    """For each kind its trees and the least probability whose precision on held-back examples is PRECISION."""
+    """For each kind its trees and the least probability whose precision is PRECISION on the examples that grew none."""
     if 0 not in _MODELS:
         rows = spark.createDataFrame(training(), "text string, label int, k string")
         got = proposals(rows, "text").select("label", "k", F.explode("__proposed").alias("p")).select("label", "k", "p.*").collect()
@@ -191,7 +198,7 @@ def models(spark: SparkSession) -> list[tuple[boost.Boosted, float]]:
             own = [r for r in got if r["kind"] == i]
             x, y = np.array([[r[f] for f in FEATURES] for r in own]), np.array([r["label"] if r["k"] == k else 0 for r in own])
             model = boost.fit(x, y)
-            p = model.probability(x)
+            y, p = y[model.held], model.probability(x[model.held])
             order = np.argsort(-p, kind="stable")
             precise = np.cumsum(y[order]) / np.arange(1, len(y) + 1) >= PRECISION
             # Whole ties only, and never below one half.
@@ -207,12 +214,19 @@ def personal_data(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     df = proposals(base_spans(df, "__t"), "__t")
     probability = "CASE x.kind " + " ".join(f"WHEN {i} THEN {m.sql(['x.' + f for f in FEATURES])}" for i, (m, _) in enumerate(models(docs.sparkSession))) + " END"
     least = "CASE x.kind " + " ".join(f"WHEN {i} THEN {c:.9f}D" for i, (_, c) in enumerate(models(docs.sparkSession))) + " END"
+    # Most proposals in a text with many spans are base spans; those go by hash, only the rest meet every base span.
+    code = "shiftleft(bigint(x.start), 31) + x.end"
+    df = df.withColumn("__rest", F.expr(f"array_except(transform(__proposed, x -> {code}), transform(__base, x -> {code}))"))
+    df = df.withColumn("__proposed", F.expr(f"CASE WHEN size(__rest) = 0 THEN slice(__proposed, 1, 0) ELSE filter(__proposed, x -> array_contains(__rest, {code})) END"))
     df = df.withColumn("__scored", F.expr(f"transform(filter(__proposed, x -> NOT exists(__base, b -> b.start < x.end AND x.start < b.end)), x -> named_struct('p', {probability}, 'least', {least}, 'kind', x.kind, 'start', x.start, 'end', x.end))"))
     df = df.withColumn("__likely", F.expr("array_distinct(filter(__scored, x -> x.p >= x.least))"))
-    ahead = "y.p > x.p OR (y.p = x.p AND (y.end - y.start > x.end - x.start OR (y.end - y.start = x.end - x.start AND (y.start < x.start OR (y.start = x.start AND y.kind < x.kind)))))"
-    df = df.withColumn("__added", F.expr(f"transform(filter(__likely, x -> NOT exists(__likely, y -> y.start < x.end AND x.start < y.end AND ({ahead}))), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))"))
+    # Likeliest first; a span stays unless it overlaps one that stays, so a beaten span beats nothing.
+    by_rank = "array_sort(transform(__likely, x -> named_struct('r', -x.p, 'len', x.start - x.end, 'start', x.start, 'kind', x.kind, 'end', x.end)))"
+    free = "NOT exists(a, y -> y.start < x.end AND x.start < y.end)"
+    none = "cast(array() as array<struct<kind:int,start:int,end:int>>)"
+    df = df.withColumn("__added", F.expr(f"aggregate({by_rank}, {none}, (a, x) -> CASE WHEN {free} THEN concat(a, array(named_struct('kind', x.kind, 'start', x.start, 'end', x.end))) ELSE a END)"))
     df = df.withColumn("base", F.expr("array_sort(__base)")).withColumn("spans", F.expr("array_sort(concat(__base, __added))"))
-    return df.drop("__t", "__base", "__proposed", "__scored", "__likely", "__added")
+    return df.drop("__t", "__base", "__proposed", "__rest", "__scored", "__likely", "__added")
 
 
 def listed(spans: str) -> Column:
@@ -221,14 +235,20 @@ def listed(spans: str) -> Column:
 
 
 def redact(df: DataFrame, *, text_col: str = "text", spans: str = "spans") -> Column:
-    """The text with every span replaced by its kind in brackets; overlapping spans become one."""
+    """The text with every span replaced by its kind in brackets; overlapping spans become one.
+
+    Pieces are made within stretches of STRETCH spans, as an array is copied with each element that is added."""
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     t = f"`{text_col}`"
     by_start = f"array_sort(transform({spans}, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))"
-    return F.expr(f"""CASE WHEN size({spans}) = 0 OR {t} IS NULL THEN {t} ELSE aggregate({by_start},
-        named_struct('at', 0, 'out', cast(array() as array<string>)),
-        (a, x) -> CASE WHEN x.start < a.at THEN named_struct('at', greatest(a.at, x.end), 'out', a.out)
-            ELSE named_struct('at', x.end, 'out', concat(a.out, array(substr({t}, a.at + 1, x.start - a.at), array({names})[x.kind]))) END,
+    stretches = f"transform(array({by_start}), s -> transform(sequence(0, (size(s) - 1) div {STRETCH}), i -> slice(s, i * {STRETCH} + 1, {STRETCH})))[0]"
+    none = "cast(array() as array<string>)"
+    one = f"""aggregate(b, named_struct('at', a.at, 'out', {none}),
+            (a, x) -> CASE WHEN x.start < a.at THEN named_struct('at', greatest(a.at, x.end), 'out', a.out)
+                ELSE named_struct('at', x.end, 'out', concat(a.out, array(substr({t}, a.at + 1, x.start - a.at), array({names})[x.kind]))) END)"""
+    return F.expr(f"""CASE WHEN size({spans}) = 0 OR {t} IS NULL THEN {t} ELSE aggregate({stretches},
+        named_struct('at', 0, 'out', {none}),
+        (a, b) -> transform(array({one}), y -> named_struct('at', y.at, 'out', concat(a.out, array(array_join(y.out, '')))))[0],
         a -> concat(array_join(a.out, ''), substr({t}, a.at + 1))) END""")
 
 

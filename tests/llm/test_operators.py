@@ -87,6 +87,32 @@ def test_packing(spark, small, odd, empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
 
 
+def test_packing_does_not_depend_on_splits(spark, small):
+    """Pieces and places fit together however the tables in between are cut when they are read."""
+    df = common.read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").repartition(7)
+    sums = []
+    for most, least in (("128m", "1"), ("20k", "40"), ("3k", "200")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        spark.conf.set("spark.sql.files.minPartitionNum", least)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        packed = packing.pack(df, TOKENIZER, block=64)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")  # and read otherwise than planned
+        rows = packed.collect()
+        by = {}
+        for r in rows:
+            by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for placed in by.values():
+            at = 0
+            for o, n in sorted(placed):
+                assert o == at
+                at += n
+            assert at <= 2048
+        sums.append(sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows))
+    for name in ("maxPartitionBytes", "minPartitionNum", "openCostInBytes"):
+        spark.conf.unset(f"spark.sql.files.{name}")
+    assert sums[0] == sums[1] == sums[2]
+
+
 def test_encoder_equals_tokenizer():
     e = packing.Encoder(TOKENIZER)
     texts = ["It's 12 o'clock—don't", "<|endoftext|> a<|endoftext|>b", "ÀÉ ÑÇ ß Ǆ İ", "ΑΣ ὈΔΥΣΣΕΎΣ", "á b c\x0bd\r\ne", "!!!...??? $$$###", "漢字 かな 한글 🙂🙂", "x²³ ½ µ", "'s't 'LL"]
@@ -98,28 +124,72 @@ def test_encoder_equals_tokenizer():
 
 
 def test_quality(spark, small, odd, empty):
-    d, trusted = docs(spark, small), common.read(spark, small, "labels").where("quality = 1").select("doc_id")
+    d, labels = docs(spark, "/root/testdata/sf0.01"), common.read(spark, "/root/testdata/sf0.01", "labels")
+    trusted = labels.where("quality = 1").select("doc_id")
     a = {r["id"]: r for r in quality.classify(d, trusted).collect()}
-    b = {r["id"]: r for r in quality.classify(d, trusted, model_rows=0).collect()}
-    for i, r in a.items():
-        assert r["perplexity"] == pytest.approx(b[i]["perplexity"]) and r["kept"] == b[i]["kept"]
-    labels = {r["doc_id"]: r["quality"] for r in common.read(spark, small, "labels").collect()}
-    kept = lambda q: np.mean([r["kept"] for i, r in a.items() if labels.get(i) == q])
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % quality.HELD == 0
+    kept = lambda q: np.mean([r["kept"] for i, r in a.items() if truth.get(i) == q and held(i)])
     assert kept(1) > 0.95 and kept(0) < 0.5
     got = {r["id"]: r for r in quality.classify(odd, trusted.limit(0)).collect()}
     assert not got[1]["kept"] and not got[3]["kept"] and got[5]["kept"] and got[5]["threshold"] is None
     assert quality.classify(empty, trusted).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark):
-    df = spark.createDataFrame([("abracadabra abba cab",), ("a bad cab",)], "text string")
-    p, w = quality.model(quality.count(df, "text"))
-    s = quality.Scorer(quality._tables(p, "key", "p"), quality._tables(w, "ctx", "gamma"))
-    context = 0
-    for c in "dabr":
-        context = context << quality.CHAR_BITS | ord(c)
-    total = np.exp(s((context << quality.CHAR_BITS) | np.arange(1 << quality.CHAR_BITS))).sum()
-    assert total == pytest.approx(1.0, abs=1e-6)
+def test_shards_change_nothing(spark, small, monkeypatch):
+    d, trusted = docs(spark, small), common.read(spark, small, "labels").where("quality = 1").select("doc_id")
+    a = {r["id"]: (r["perplexity"], r["kept"]) for r in quality.classify(d, trusted).collect()}
+    monkeypatch.setattr(quality, "SHARD", 3000)
+    monkeypatch.setattr(quality, "STRETCH", 5000)
+    b = {r["id"]: (r["perplexity"], r["kept"]) for r in quality.classify(d, trusted).collect()}
+    assert all(b[i][0] == pytest.approx(p) and b[i][1] == k for i, (p, k) in a.items())
+
+
+def kneser_ney(texts):
+    """p(last character | those before) of an n-gram as a tuple of codes, by the textbook on dictionaries."""
+    counts = {}
+    for t in texts:
+        c = quality.codes(t).tolist()
+        for i in range(quality.ORDER, len(c) + 1):
+            counts[tuple(c[i - quality.ORDER : i])] = counts.get(tuple(c[i - quality.ORDER : i]), 0) + 1
+    levels = {quality.ORDER: counts}
+    for n in range(quality.ORDER - 1, 0, -1):
+        levels[n] = {}
+        for g in levels[n + 1]:
+            levels[n][g[1:]] = levels[n].get(g[1:], 0) + 1
+    discounts = {}
+    for n, c in levels.items():
+        n1, n2, n3, n4 = (max(1, sum(v == i for v in c.values())) for i in range(1, 5))
+        y = n1 / (n1 + 2 * n2)
+        d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+        discounts[n] = [min(max(d[0], 0.1), 0.99), min(max(d[1], 0.1), 1.99), min(max(d[2], 0.1), 2.9)]
+
+    def p(g):
+        if not g:
+            return 1 / (1 << quality.CHAR_BITS)
+        c, d = levels[len(g)], discounts[len(g)]
+        after = {h: v for h, v in c.items() if h[:-1] == g[:-1]}
+        total = sum(after.values())
+        if not total:
+            return p(g[1:])
+        cut = lambda v: d[min(v, 3) - 1]
+        return (max(c.get(g, 0) - cut(c[g]), 0) if g in c else 0) / total + sum(map(cut, after.values())) / total * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_equals_the_textbook(spark):
+    texts = ["abracadabra abba cab", "a bad cab. The cab was bad; a drab abacus", "éa cab ÉA bad"]
+    p, w = quality.model(quality.count(spark.createDataFrame([(t,) for t in texts], "text string"), "text"))
+    shared = quality.share(quality.keyed(p, w))
+    loaders = [quality._loader(s) for s in shared]
+    probe = np.unique(np.concatenate([quality.grams(quality.codes(t)) for t in [*texts, "a new cabal drabs", "zzz abr"]]))
+    got, want = np.exp(quality.log_probabilities(probe, loaders)), kneser_ney(texts)
+    mask = (1 << quality.CHAR_BITS) - 1
+    for k, x in zip(probe.tolist(), got.tolist(), strict=True):
+        assert x == pytest.approx(want(tuple((k >> quality.CHAR_BITS * i) & mask for i in range(quality.ORDER - 1, -1, -1))), rel=1e-9)
+    every = (int(quality.grams(quality.codes("dabra"))[-1]) >> quality.CHAR_BITS << quality.CHAR_BITS) | np.arange(1 << quality.CHAR_BITS)
+    assert np.exp(quality.log_probabilities(every, loaders)).sum() == pytest.approx(1.0, abs=1e-6)
 
 
 # 4
@@ -132,6 +202,12 @@ def test_language(spark, small, odd, empty):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97 and all(0 <= r["score"] <= 1 for r in rows)
     got = {r["doc_id"]: r for r in language.identify(odd, d).collect()}
     assert [got[i]["lang_pred"] for i in (1, 2, 3, 4)] == ["und"] * 4 and got[9]["lang_pred"] == "de"
+    signs = spark.createDataFrame([(1, "½ ²"), (2, "①② ⅷ 12"), (3, "x½"), (4, None), (5, "Das ist ein Tag and we are here")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in language.identify(signs, d).orderBy("doc_id").collect()] == [True, True, False, True, False]
+    found = {r["doc_id"]: r["words"] for r in language.label_words(signs, d).collect()}
+    assert found[1] == [] and found[4] == [] and [x["word"] for x in found[5]] == "das ist ein tag and we are here".split()
+    assert found[5][0]["lang"] == "de" and found[5][-1]["lang"] == "en"
+    assert len(language.sample(d.where("lang is not null"), "text", "lang", "doc_id", 7)) == 7 * d.where("lang is not null").select("lang").distinct().count()
     assert language.identify(odd, d.limit(0)).where("lang_pred <> 'und'").count() == 0 and language.identify(empty, d).count() == 0
 
 
@@ -199,6 +275,18 @@ def test_personal_data(spark, small, odd, empty):
     assert pii.personal_data(empty).count() == 0
 
 
+def test_thresholds_come_from_examples_that_grew_no_tree(spark):
+    for (model, least), kind in zip(pii.models(spark), pii.KINDS, strict=True):
+        assert 20 < model.held.sum() < len(model.held) / 2 and 0.5 <= least <= 1, kind
+
+
+def test_many_matches_in_one_text(spark):
+    text = "1.2.3.4 a@b.co é call (555) 123-4567 " * 2000
+    found = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    r = found.select(pii.listed("base").alias("b"), F.size("spans").alias("n"), pii.redact(found).alias("t")).first()
+    assert r["b"] == brute_spans(text) and r["n"] == 6000 and r["t"] == "[IP] [EMAIL] é call [PHONE] " * 2000
+
+
 def test_added_spans_and_redaction(spark):
     df = spark.createDataFrame([(1, "😀 call (555) 123-4567 or mail bob at foo dot com; a@b.co"), (2, "order 555-123-4567 in version 1.2.3"), (3, None)], "doc_id long, text string")
     found = pii.personal_data(df)
@@ -230,6 +318,24 @@ def test_hosts_vote(spark):
     assert got[9] == "short"
 
 
+def test_deep_and_wide_pages_take_linear_time():
+    import time
+
+    cases = ["<div>" * 100_000 + "text" + "</div>" * 100_000, "<table>" + "<tr>" + "<td>cell</td>" * 100_000 + "</table>", "<span>" * 50_000 + "<li>x</p>" * 50_000, "<p>" + "<b>" * 50_000 + "<p>x" * 20_000]
+    began = time.time()
+    for source in cases:
+        page = pages.Page(source)
+        path = page.path(page.best()[0])
+        assert page.text(path) and pages.Page(source).text(">table>td") == page.text(">table>td")
+    assert time.time() - began < 20
+
+
+def test_repeated_pages_and_clashing_columns(spark):
+    rows = [(1, "http://a.example/", "<article><p>One text</p></article>")] * 3
+    got = pages.extract(spark.createDataFrame([(*r, "old", "old", "old") for r in rows], "page_id long, url string, html string, text string, path string, host string")).collect()
+    assert [r["text"] for r in got] == ["One text"] * 3
+
+
 # 7
 
 

@@ -5,17 +5,22 @@ stands between ASCII white space, with A-Z lower-cased. Every element of a set w
 the signature's places; in step j it offers the value j + r at its j-th place. Elements of a batch walk in step, and a
 set stops at the first step after which none of its places can become smaller: long texts after one or two.
 
-Documents with equal sets are one class. Classes are bucketed by bands of four places, as many bands as make a missed
-pair at the threshold less likely than MISS. In each bucket every class is linked with the bucket's smallest one;
-links are confirmed on full sets, read again from the texts. Buckets whose classes are then still in several
-components are gone through once more, for every pair across components, except pairs that cannot meet the threshold,
-as lower bounds of their symmetric difference show (elements that no other open class has, differing distances to the
-smallest class, differing parities of hashed elements): so no pair within a bucket is left out, yet a
-group of copies never makes all its pairs.
+Documents with equal sets are one class with a number of its own, so rows that share an id but not the text stay apart.
+Classes are bucketed by bands of four places, as many bands as make a missed pair at the threshold less likely than
+MISS. In each bucket every class is linked with the bucket's smallest one; links are confirmed on full sets, read again
+from the texts. Buckets whose classes are then still in several components are gone through once more, for every pair
+across components, except pairs that cannot meet the threshold, as lower bounds of their symmetric difference show
+(elements that no other open class has, differing distances to the smallest class, differing parities of hashed
+elements): so no pair within a bucket is left out, yet a group of copies never makes all its pairs.
+
+A bucket's rows are dealt over all tasks by a salt: statistics are made by (bucket, salt) first, and what holds for the
+bucket comes back by (bucket, salt). Pairs are compared in blocks of BLOCK rows of a bucket. Of the texts only those
+are shuffled that a bitmap of the wanted rows lets through.
 
 Defined edge cases: null texts, empty texts and texts without words have the empty set and are linked with nothing;
-rows without an id take no part (component null, kept); repeated rows share their component; columns other than id
-and text are not read.
+rows without an id take no part (component null, kept); repeated rows share their component; rows with one id and
+different texts are documents of their own, whose component may be the same id; columns other than id and text are not
+read.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ from . import common, graph
 #: Default shingle length and similarity (in hundredths).
 WORDS, PERCENT = 5, 80
 ROWS = 4
+#: Rows of a bucket that one task compares with the others.
+BLOCK = 256
 #: Places of the parity sketch that bounds symmetric differences.
 PARITY = 2048
 #: Largest chance that a pair exactly at the threshold shares no bucket.
@@ -132,17 +139,18 @@ def bands_for(percent: int) -> int:
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    for a, b in common.slices(texts, 2_000_000):
+    for a, b in common.slices(texts, 1_000_000):
         for i in range(a, b, 4096):
             yield i, min(b, i + 4096)
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int) -> DataFrame:
-    """id, n (set size), s1 and s2 (fingerprint of the set), bands (bucket keys; none for an empty set)."""
+    """id, h (hash of the text), n (set size), s1 and s2 (fingerprint of the set), bands (bucket keys; none for an empty
+    set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in _slices(texts):
                 ids, at = shingles(texts[a:b], k)
                 n = np.diff(at)
@@ -155,11 +163,16 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int) -> D
                 sums2 = np.concatenate([[_U(0)], np.cumsum(mix(ids ^ _A) * _P, dtype=_U)])
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)), pa.array(key[n > 0].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64)), pa.array((sums2[at[1:]] - sums2[at[:-1]]).view(np.int64)), keys],
-                    names=["id", "n", "s1", "s2", "bands"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64)), pa.array((sums2[at[1:]] - sums2[at[:-1]]).view(np.int64)), keys],
+                    names=["id", "h", "n", "s1", "s2", "bands"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, h long, n long, s1 long, s2 long, bands array<long>")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, h, text: a row is known by its id and the hash of its text."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -224,47 +237,50 @@ def parities(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "class long, odd array<long>")
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components."""
-    keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return rows.join(keys, "key", "left_semi")
+def _of_bucket(rows: DataFrame, stats: dict[str, tuple[str, str]], where: str) -> DataFrame:
+    """rows (with key, salt) and statistics of their buckets, of buckets where a condition on them holds. No task gets
+    a whole bucket: rows meet by (key, salt), and of a bucket at most one row for each salt meets by key."""
+    part = rows.groupBy("key", "salt").agg(*[getattr(F, f)(c).alias(name) for name, (f, c) in stats.items()])
+    whole = part.groupBy("key").agg(*[getattr(F, "sum" if f == "count" else f)(name).alias(name) for name, (f, _) in stats.items()]).where(where)
+    return rows.join(part.select("key", "salt").join(whole, "key"), ["key", "salt"])
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, component (smallest id reachable): one row for each input row."""
+    """id, h (hash of the text), n_shingles, component (smallest id reachable), kept (whether the row's id and text are
+    the first of its component): one row for each input row."""
     bands = bands_for(percent)
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketches = common.materialise(sketch(docs, id_col, text_col, k, bands))
-    classes = sketches.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("class"), F.min_by("bands", "id").alias("bands"))
-    classes = common.materialise(classes)
-    members = classes.select("class", F.posexplode("bands").alias("band", "key"))
-    heads = members.groupBy("key").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    members = common.materialise(members.join(heads, "key"))
-    pairs = members.where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b")).distinct()
-    pairs = common.materialise(pairs)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    # Rows that share an id but not the text: the class was made from one of them, and any stands for it here.
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
-    texts = common.materialise(texts)
+    own = F.struct("id", "h")
+    classes = sketches.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min(own).alias("low"), F.min_by("bands", own).alias("bands"))
+    classes = common.materialise(classes.withColumn("class", F.monotonically_increasing_id()))
+    members = classes.select("class", F.pmod(F.xxhash64("class"), F.lit(salts)).alias("salt"), F.posexplode("bands").alias("band", "key"))
+    members = common.materialise(_of_bucket(members, {"head": ("min", "class"), "size": ("count", "class")}, "size > 1"))
+    pairs = common.materialise(members.where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b")).distinct())
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = common.materialise(classes.select("class", "low.id", "low.h").join(wanted, "class", "left_semi"))
+    row = F.xxhash64("id", "h")
+    texts = common.maybe_in(_rows(docs, id_col, text_col), row, wanted, row).where("__maybe").join(wanted, ["id", "h"]).dropDuplicates(["id", "h"])
+    texts = common.materialise(texts.select(F.col("class").alias("id"), "text"))
     stars = common.materialise(confirm(pairs, texts, k, percent))
     labels = graph.components(stars.where("linked"))
 
     # Buckets that still hold several components: every pair across them that can still meet the threshold, once.
     label = F.coalesce("v", "class")
-    sized = members.join(classes.select("class", "n"), "class")
-    rest = _open(sized.join(labels.withColumnRenamed("u", "class"), "class", "left").select("key", "class", "head", "band", "n", label.alias("label")))
-    rest = common.materialise(rest)
+    several = {"lo": ("min", "label"), "hi": ("max", "label"), "low": ("min", "n"), "size": ("count", "n")}
+    sized = members.drop("size").join(classes.select("class", "n"), "class").join(labels.withColumnRenamed("u", "class"), "class", "left").withColumn("label", label).drop("v")
+    rest = common.materialise(_of_bucket(sized, several, "lo <> hi").drop("lo", "hi", "size"))
     open_texts = common.materialise(texts.join(rest.select(F.col("class").alias("id")).distinct(), "id", "left_semi"))
-    own = lone(open_texts, k)
     # Elements that no other open class has are in no intersection; m bounds the intersection with any class here.
-    rest = rest.join(own, "class", "left").withColumn("m", F.col("n") - F.coalesce("lone", F.lit(0)))
-    low = rest.groupBy("key").agg(F.min("n").alias("low"))
+    rest = rest.join(lone(open_texts, k), "class", "left").withColumn("m", F.col("n") - F.coalesce("lone", F.lit(0)))
     able = lambda a, b, m: F.lit(100) * m >= F.lit(percent) * (a + b - m)
-    rest = rest.join(low, "key").where(able(F.col("n"), F.greatest("low", "m"), F.col("m"))).select("key", "class", "head", "band", "n", "m", "label")
+    rest = rest.where(able(F.col("n"), F.greatest("low", "m"), F.col("m"))).drop("low")
     # Sizes of symmetric differences are a metric: they to the bucket's head can differ by no more than the pair's own.
     rest = rest.join(stars.select(F.col("a").alias("class"), F.col("b").alias("head"), "apart"), ["class", "head"], "left").withColumn("apart", F.coalesce("apart", F.lit(0)))
-    rest = common.materialise(_open(rest).join(classes.select("class", "bands"), "class").join(parities(open_texts, k), "class"))
-    left = rest.select("key", F.col("class").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("apart").alias("da"), F.col("bands").alias("ba"), F.col("odd").alias("oa"), "band")
-    right = rest.select("key", F.col("class").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("apart").alias("db"), F.col("bands").alias("bb"), F.col("odd").alias("ob"))
+    rest = _of_bucket(common.materialise(rest), several, "lo <> hi").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    rest = common.materialise(rest.join(classes.select("class", "bands"), "class").join(parities(open_texts, k), "class"))
+    left = rest.select("key", F.pmod(F.xxhash64("class", F.lit(3)), "blocks").alias("block"), F.col("class").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("apart").alias("da"), F.col("bands").alias("ba"), F.col("odd").alias("oa"), "band")
+    right = rest.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("class").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("apart").alias("db"), F.col("bands").alias("bb"), F.col("odd").alias("ob"))
     # A pair at the threshold differs in (1 - t) / (1 + t) of both sizes at most; elements of no other class all differ.
     least = F.greatest(F.abs(F.col("da") - F.col("db")), F.col("na") - F.col("ma") + F.col("nb") - F.col("mb"))
     differing = sum((F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(1, PARITY // 64)), F.bit_count(F.col("oa")[0].bitwiseXOR(F.col("ob")[0])))
@@ -272,16 +288,35 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     close = least * (100 + percent) <= F.lit(100 - percent) * (F.col("na") + F.col("nb"))
     # A pair that shares several buckets stands in the first of them.
     first = F.expr("NOT exists(slice(zip_with(ba, bb, (x, y) -> x = y), 1, band), e -> e)")
-    across = left.join(right, "key").where((F.col("la") < F.col("lb")) & able(F.col("na"), F.col("nb"), F.least("ma", "mb")) & close & first).select("a", "b").distinct()
+    across = left.join(right, ["key", "block"]).where((F.col("la") < F.col("lb")) & able(F.col("na"), F.col("nb"), F.least("ma", "mb")) & close & first).select("a", "b").distinct()
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
     more = confirm(across, texts, k, percent).where("linked").select("a", "b")
     joined = common.materialise(more.unionByName(labels.select(F.col("u").alias("a"), F.col("v").alias("b"))))
     labels = graph.components(joined)
 
-    owner = classes.select("n", "s1", "s2", "class").join(labels.withColumnRenamed("u", "class"), "class", "left").select("n", "s1", "s2", label.alias("component"))
-    found = sketches.select("id", "n", "s1", "s2").join(owner, ["n", "s1", "s2"], "left")
-    return found.select("id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), "id").alias("component"))
+    named = classes.select("n", "s1", "s2", "low", "class").join(labels.withColumnRenamed("u", "class"), "class", "left").withColumn("root", label)
+    owner = common.materialise(named.join(named.groupBy("root").agg(F.min("low").alias("first")), "root").select("n", "s1", "s2", "first"))
+    for made in (members, pairs, wanted, texts, stars, open_texts, rest, joined):
+        common.release(made)
+    found = sketches.select("id", "h", "n", "s1", "s2").join(owner, ["n", "s1", "s2"], "left")
+    there = F.col("id").isNotNull() & F.col("first").isNotNull()
+    kept = ~there | ((F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h")))
+    return found.select("id", "h", F.col("n").alias("n_shingles"), F.coalesce(F.when(there, F.col("first.id")), "id").alias("component"), F.coalesce(kept, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each group of near duplicates: the smallest id's, and of several rows that share it, one.
+    Rows without an id or without words stay. Only rows that go or are repeated are shuffled."""
+    found = common.materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, k=k, percent=percent))
+    some = found.where("id is not null and n_shingles > 0").groupBy(F.col("id").alias("__id"), F.col("h").alias("__h"))
+    marks = common.materialise(some.agg(F.bool_or("kept").alias("__kept"), F.count(F.lit(1)).alias("__n")).where("not __kept or __n > 1").drop("__n"))
+    row = F.xxhash64("__id", "__h")
+    df = docs.withColumns({"__id": F.col(id_col).cast("long"), "__h": F.xxhash64(F.col(text_col))})
+    df = common.maybe_in(df, row, marks, row)
+    met = df.where("__maybe").join(marks, ["__id", "__h"], "left")
+    out = df.where("not __maybe").select(docs.columns).unionByName(met.where("__kept is null").select(docs.columns))
+    return out.unionByName(met.where("__kept").dropDuplicates(["__id", "__h"]).select(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -398,7 +398,34 @@ def test_near_duplicates(spark, odd, empty):
         assert got == brute_components(all_texts, k, percent)
     again = minhash.near_duplicates(odd)
     assert again.count() == len(ODD) and again.where("id is null and component is null").count() == 1
-    assert minhash.near_duplicates(empty).count() == 0
+    one = {(r["doc_id"], r["text"]) for r in minhash.deduplicated(odd).collect()}
+    assert minhash.deduplicated(odd).count() == len(ODD) - 2 and one == {x for x in ODD if x[0] != 7}
+    assert minhash.deduplicated(empty).count() == 0
+
+
+def test_one_id_with_different_texts(spark):
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    rows = [(1, long), (2, "quite another text of seven words here"), (2, long + " mu"), (3, "one two three four five six seven"), (3, "uno dos tres cuatro cinco seis siete"), (4, None), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(df, k=3, percent=85)
+    assert sorted((r["id"], r["component"], r["kept"]) for r in got.collect()) == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 3, True), (3, 3, True), (4, 4, True), (4, 4, True)]
+    assert sorted(map(str, minhash.deduplicated(df, k=3, percent=85).collect())) == sorted(map(str, df.where(~F.col("text").endswith("mu") | F.col("text").isNull()).collect()))
+
+
+def test_hot_buckets_in_blocks(spark, monkeypatch):
+    """Many classes of one bucket whose links do not all pass through the smallest one."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for j in rng.choice(90, int(rng.integers(0, 5)), replace=False):
+            w[j] = f"x{rng.integers(40)}"
+        texts.append((1000 + i, " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["id"]: (r["n_shingles"], r["component"]) for r in minhash.near_duplicates(df, k=3, percent=85).collect()}
+    assert got == brute_components(texts, 3, 85)
 
 
 def test_superminhash_estimates_jaccard():

@@ -1,8 +1,9 @@
 """The corpus pipeline: language ID, near-duplicate removal, decontamination, redaction, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last give the columns of documents. The language stage rejects rows without a recognisable
-language; the near-duplicate stage keeps the smallest id of each group (rows without an id stay); decontamination
+stage's docs. All but the last give the columns of documents. The language stage rejects rows without a language (null
+or without a letter); a low score alone rejects nothing, as short and code-switched texts have one too. The
+near-duplicate stage keeps one row of each group, of the smallest id (rows without an id stay); decontamination
 drops documents that hold a window of a benchmark item; redaction puts kinds in place of personal data; packing gives
 pieces with their places in sequences.
 """
@@ -15,27 +16,16 @@ from pyspark.sql import functions as F
 from meteolith.llm import common, decontaminate, language, minhash, packing, pii
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Mean probability of the chosen language below which a text has no recognisable one.
-LEAST_SCORE = 0.25
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled = docs.where(common.doc_bucket("doc_id", 3) != 1)
     found = language.identify(docs.select(*COLUMNS), labelled)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group; of rows with equal ids, one."""
-    docs = docs.select(*COLUMNS)
-    found = minhash.near_duplicates(docs)
-    gone = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    twice = found.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    twice = common.materialise(twice)
-    once = kept.join(twice, "doc_id", "left_anti").select(*COLUMNS)
-    repeated = kept.join(twice, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return once.unionByName(repeated)
+    return minhash.deduplicated(docs.select(*COLUMNS))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +59,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = common.materialise(docs)
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with common.scope() as keep:  # what a stage wrote goes once its result is written
+            made = keep(common.materialise(stage(spark, docs, sf_dir)))
+        common.release(docs)
+        docs = made
     return docs

@@ -363,6 +363,54 @@ def test_neighbours(spark, small):
     assert ann.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def clustered(spark, n, centres, hot=0, dim=32):
+    """Vectors around centres; `hot` of them around one point."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(centres, dim))[rng.integers(0, centres, n)] + 0.5 * rng.normal(size=(n, dim))
+    if hot:
+        x[:hot] = x[0] + 0.05 * rng.normal(size=(hot, dim))
+    x = x[rng.permutation(n)]
+    return spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<double>"), x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def recall(found, x):
+    got = {}
+    for r in found:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q, ids in got.items():
+        s = x @ x[q]
+        s[q] = -9
+        hits += len(set(np.lexsort((np.arange(len(x)), -s))[:5].tolist()) & ids)
+    return hits / (5 * len(got)), len(got)
+
+
+def test_lists_are_probed_and_pruned(spark):
+    v, x = clustered(spark, 50_000, 150)
+    share, n = recall(ann.search(v, v.where("vec_id % 250 = 0")).collect(), x)
+    assert share >= 0.9 and n == 200
+    turned = x @ ann.rotation(32)
+    lists = ann.Lists(turned[: ann.SAMPLE], len(x))
+    assert ann.probes_for(turned[: ann.SAMPLE], lists, 5) < lists.count / 4 and lists.count > 90
+    near = np.sort(x[:1] @ x.T)[0, -6]
+    _, read = ann.scan(turned[:2048], np.arange(2048), x[:2048], turned[:1], np.arange(1), x[:1], np.array([2 - 2 * near]), 5)
+    assert read < 0.7 * 2048 * 32
+
+
+@pytest.mark.parametrize("sample, block", [(400, 2048), (5000, 64)])
+def test_two_levels_of_lists_and_a_hot_list(spark, monkeypatch, sample, block):
+    """400 sampled vectors bear 50 first centroids only; a third of all vectors lies in one list, cut into blocks."""
+    for name, value in (("SAMPLE", sample), ("BLOCK", block), ("QUERIES", 16), ("PER_LIST", 64), ("PROBES", 4)):
+        monkeypatch.setattr(ann, name, value)
+    v, x = clustered(spark, 9000, 60, hot=3000)
+    found = ann.search(v, v.where("vec_id % 90 = 0")).collect()
+    share, n = recall(found, x)
+    assert share >= 0.9 and n == 100 and {r["rank"] for r in found} == {1, 2, 3, 4, 5}
+    assert len(ann.Lists(x[:sample], len(x)).second) == (3 if sample == 400 else 1)
+
+
 # 8
 
 
@@ -456,6 +504,20 @@ def test_shards(spark, odd, empty):
     assert hilbert.shards(empty.select("doc_id", "text", "lang"), cells, ["doc_id"]).count() == 0
 
 
+def test_shard_query(spark, duck, small):
+    """Sizes, checksums and the law against SQL; and a shard's box is narrow on each dimension, so files can be pruned."""
+    rows = hilbert.query(spark, small)
+    got = rows.select("doc_id", "size", "law", "grown_shard").toPandas()
+    from conftest import comparable
+
+    assert comparable(got) == duck("SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, 'rows' AS law, NULL AS grown_shard FROM documents")
+    crcs = {r["doc_id"]: zlib.crc32((r["text"] or "").encode()) for r in docs(spark, small).collect()}
+    found = rows.collect()
+    assert all(r["text_crc32"] == crcs[r["doc_id"]] for r in found) and {r["shard"] for r in found} == set(range(40))
+    langs = docs(spark, "/root/testdata/sf0.01").join(hilbert.query(spark, "/root/testdata/sf0.01").select("doc_id", "shard"), "doc_id").groupBy("shard").agg(F.countDistinct("lang").alias("n")).agg(F.avg("n")).first()[0]
+    assert langs < 2.5
+
+
 def test_curve_visits_neighbours():
     import itertools
 

@@ -195,8 +195,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
         return run
 
     schema = "id long, v array<double>, lists array<long>"
-    indexed = base.mapInArrow(assign(0), schema).select("id", "v", F.col("lists")[0].alias("list"))
-    probing = common.materialise(asked.mapInArrow(assign(probes), schema).select("id", "v", F.posexplode("lists").alias("nth", "list")))
+    indexed = common.map_arrow(base, assign(0), schema).select("id", "v", F.col("lists")[0].alias("list"))
+    probing = common.materialise(common.map_arrow(asked, assign(probes), schema).select("id", "v", F.posexplode("lists").alias("nth", "list")))
     blocks = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     asking = probing.groupBy("list").agg(F.ceil(F.sum((F.col("nth") > 0).cast("long")) / QUERIES).alias("turns"), F.ceil(F.sum((F.col("nth") == 0).cast("long")) / QUERIES).alias("turns0"))
     sizes = common.materialise(blocks.join(asking, "list"))

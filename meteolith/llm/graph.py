@@ -47,7 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps on DataFrames until the edges no longer change; no list of neighbours
     is ever gathered, so a node of any degree costs one partial aggregation.
     """
-    e = edges.where("a <> b").select("a", "b").mapInArrow(_contract, "u long, v long").distinct()
+    e = common.map_arrow(edges.where("a <> b").select("a", "b"), _contract, "u long, v long").distinct()
     before = None
     e = common.materialise(e)
     while True:

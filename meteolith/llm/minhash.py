@@ -58,7 +58,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@functools.lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _P, _U), np.full(n, _P_INVERSE, _U)
     up[0] = down[0] = 1
@@ -72,7 +71,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     start, end = edge[0::2], edge[1::2]
-    up, down = _powers(1 << max(20, (len(data) + 1).bit_length()))
+    up, down = _powers(len(data) + 1)
     total = np.empty(len(data) + 1, _U)
     total[0] = 0
     np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=total[1:])
@@ -140,8 +139,8 @@ def bands_for(percent: int) -> int:
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     for a, b in common.slices(texts, 1_000_000):
-        for i in range(a, b, 4096):
-            yield i, min(b, i + 4096)
+        for i in range(a, b, 1024):
+            yield i, min(b, i + 1024)
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int) -> DataFrame:
@@ -167,7 +166,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int) -> D
                     names=["id", "h", "n", "s1", "s2", "bands"],
                 )
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, h long, n long, s1 long, s2 long, bands array<long>")
+    return common.map_arrow(_rows(docs, id_col, text_col), run, "id long, h long, n long, s1 long, s2 long, bands array<long>")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -201,7 +200,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, apart long, linked boolean")
+    return common.map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb"), run, "a long, b long, apart long, linked boolean")
 
 
 def lone(texts: DataFrame, k: int) -> DataFrame:
@@ -214,7 +213,7 @@ def lone(texts: DataFrame, k: int) -> DataFrame:
                 ids, at = shingles(texts[a:b], k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[a:b], np.diff(at))), pa.array(ids.view(np.int64))], names=["class", "e"])
 
-    elements = texts.select("id", "text").mapInArrow(run, "class long, e long")
+    elements = common.map_arrow(texts.select("id", "text"), run, "class long, e long")
     once = elements.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("class")).where("c = 1")
     return once.groupBy("class").agg(F.count(F.lit(1)).alias("lone"))
 
@@ -234,7 +233,7 @@ def parities(texts: DataFrame, k: int) -> DataFrame:
                 words = PARITY // 64
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(0, words * (b - a) + 1, words, dtype=np.int32)), pa.array(bits))], names=["class", "odd"])
 
-    return texts.select("id", "text").mapInArrow(run, "class long, odd array<long>")
+    return common.map_arrow(texts.select("id", "text"), run, "class long, odd array<long>")
 
 
 def _of_bucket(rows: DataFrame, stats: dict[str, tuple[str, str]], where: str) -> DataFrame:

@@ -110,7 +110,7 @@ def tokenise(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=PIECES.names)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, PIECES)
+    return common.map_arrow(docs.select(F.col(id_col).cast("long"), text_col), run, PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +172,7 @@ def place(items: DataFrame, blocks: int, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (n[a:b], block[a:b], bins, offsets)], names=PLACED.names)
 
     dealt = items.select("n", "length", F.pmod(F.xxhash64("n"), F.lit(blocks)).alias("block"))
-    return dealt.repartition(blocks, "block").mapInArrow(run, PLACED)
+    return common.map_arrow(dealt.repartition(blocks, "block"), run, PLACED)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, block: int = BLOCK) -> DataFrame:

@@ -70,7 +70,7 @@ def count(texts: DataFrame, text_col: str) -> DataFrame:
                 key, n = np.unique(np.concatenate([grams(codes(t)) for t in column[a:b]]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "c"])
 
-    return texts.select(text_col).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return common.map_arrow(texts.select(text_col), run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def model(counts: DataFrame) -> tuple[DataFrame, DataFrame]:

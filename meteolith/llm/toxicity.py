@@ -86,7 +86,7 @@ def trigram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(total[code])], names=["code", "n"])
 
-    table = docs.select(text_col).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    table = common.map_arrow(docs.select(text_col), run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SYMBOLS**3, np.int64)
     counts[table.column("code").to_numpy()] = table.column("n").to_numpy()
     return counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS)

@@ -52,10 +52,6 @@ def confusion(df: DataFrame, labels: list[str]) -> DataFrame:
 
 def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
     """bin, n, mean_prob, mean_truth over (lo, hi] bins, the first including 0; edges are literals."""
-    bin_ = F.lit(0)
-    for i in range(1, bins):
-        bin_ = F.when(F.col("score") > i / bins, i).otherwise(bin_)
-    # The conditions are nested from the highest edge in.
     bin_ = sum(((F.col("score") > i / bins).cast("int") for i in range(1, bins)), F.lit(0))
     return df.withColumn("bin", bin_).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_prob"), F.avg(F.col("truth").cast("double")).alias("mean_truth"))
 
@@ -95,8 +91,12 @@ def average_precision(df: DataFrame) -> DataFrame:
 
 def thinned(curve: DataFrame, points: int = 200) -> DataFrame:
     """About `points` cuts of a curve, spread evenly over its rank, first and last included."""
-    g = curve.withColumn("tile", F.ntile(points).over(Window.orderBy(F.desc("score"))))
-    return g.groupBy("tile").agg(F.max_by(F.struct("score", "tp", "fp"), F.struct("tp", "fp")).alias("c")).select("c.*")
+    # tp + fp is the rank of a cut, so tiles are even steps of rank and need no window over all cuts.
+    rank = F.col("tp") + F.col("fp")
+    most = curve.agg(F.max(rank).alias("most"))
+    g = curve.join(F.broadcast(most)).withColumn("tile", F.floor((rank - 1) * (points - 1) / F.greatest("most", F.lit(1))))
+    ends = g.groupBy("tile").agg(F.max_by(F.struct("score", "tp", "fp"), rank).alias("c")).select("c.*")
+    return ends.unionByName(curve.orderBy(F.desc("score")).limit(1).select("score", "tp", "fp")).distinct()
 
 
 def histogram(df: DataFrame, bins: int = 20) -> DataFrame:

@@ -223,7 +223,7 @@ def spatial_neighbours_topk(spark, d):
 
 @query
 def spatial_consensus(spark, d):
-    c = spatial.consensus(spatial.neighbours(obs(spark, d), source.stations(spark)))
+    c = spatial.consensus(spatial.heaviest(obs(spark, d), source.stations(spark)))
     c = c.withColumn("neighbour_ids", F.array_join("neighbour_ids", ","))
     return rounded(c, ["target_seq", "n_neighbours", "neighbour_ids", "spatial_available"], ["spatial_p", *[f"{p}_{v}" for p in ("expected", "residual", "normalised") for v in VARIABLES]])
 

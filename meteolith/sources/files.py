@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import json
 import tempfile
-from collections.abc import Callable
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -127,8 +127,18 @@ def load_network(spark: SparkSession, observations: str, stations: str, ids: lis
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, else a local one (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meteolith-")
+    """The folder that driver and executors share: spark.checkpoint.dir; with a local master (tests) a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="meteolith-")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: read by several parts of a plan, it is computed once."""
+    path = f"{shared_dir(df.sparkSession)}/v-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 MESSAGE = "station_id string, timestamp string, temp_c string, pressure_hpa string, rh_pct string, neighbours string"
@@ -225,6 +235,3 @@ def save_artifact(model, path: str) -> None:
 def load_artifact(kind: type, path: str):
     with open(path, "rb") as f:
         return kind.from_bytes(f.read())
-
-
-Transform = Callable[[DataFrame], DataFrame]

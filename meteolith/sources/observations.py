@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meteolith.config import DEFAULT, VARIABLES, Rules
+from meteolith.sources import files
 
 SCHEMA = "seq bigint, station_id string, timestamp timestamp_ntz, temp_c double, pressure_hpa double, rh_pct double"
 STATIONS = "station_id string, name string, lat double, lon double, elevation_m double, terrain string"
-#: The registry of the eight stations of the view (id, name, latitude, longitude, elevation, terrain).
+#: The registry of the eight stations of the view (id, name, latitude, longitude, elevation, terrain): invented places.
 REGISTRY = (
-    ("S00", "Pune", 18.5204, 73.8567, 560.0, "valley"),
-    ("S01", "Mumbai Santacruz", 19.0887, 72.8679, 14.0, "coastal"),
-    ("S02", "Nashik", 19.9975, 73.7898, 584.0, "plateau"),
-    ("S03", "Ahmednagar", 19.0952, 74.7496, 649.0, "inland"),
-    ("S04", "Solapur", 17.6599, 75.9064, 457.0, "plateau"),
-    ("S05", "Satara", 17.6805, 74.0183, 742.0, "hill"),
-    ("S06", "Ratnagiri", 16.9902, 73.312, 67.0, "coastal"),
-    ("S07", "Mahabaleshwar", 17.9307, 73.6477, 1353.0, "hill"),
+    ("S00", "Old Mill", 46.12, 7.05, 540.0, "valley"),
+    ("S01", "Harbour Light", 45.61, 6.21, 22.0, "coastal"),
+    ("S02", "North Field", 46.95, 7.62, 610.0, "plateau"),
+    ("S03", "Brick Works", 46.33, 8.14, 655.0, "inland"),
+    ("S04", "East Ridge", 45.18, 8.87, 470.0, "plateau"),
+    ("S05", "Sheep Hill", 45.32, 7.41, 760.0, "hill"),
+    ("S06", "Long Pier", 44.57, 6.68, 51.0, "coastal"),
+    ("S07", "High Meadow", 45.47, 7.02, 1290.0, "hill"),
 )
 
 
@@ -27,9 +28,21 @@ def canonical(df: DataFrame) -> DataFrame:
     return df.withColumns({v: F.when(F.isnan(v), None).otherwise(F.col(v)) for v in VARIABLES})
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One observation for each event; arithmetic goes through integers, so that every engine gives equal values."""
-    return view(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """One observation for each event, as a table: the JSON of an event is parsed once for each state of its files and
+    session, not in every branch of every plan. Arithmetic goes through integers, so that every engine gives equal values."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    status = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(folder)
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(events.inputFiles())), status.getLen(), status.getModificationTime())
+    if key not in _TABLES:
+        cores = spark.sparkContext.defaultParallelism
+        # A small file is one split; dealt over the cores here, every later scan is too.
+        _TABLES[key] = files.written(view(events if events.rdd.getNumPartitions() >= cores else events.repartition(cores)))
+    return _TABLES[key]
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """The streaming twin of layer 1: per-station state, arrival order, O(1) for each reading.
 
 Readings are processed in the order they arrive (late ones are flagged, not dropped), so there is no watermark; state
-is a few numbers for each station."""
+is a few numbers for each station. A station's rows of one micro-batch come in several Arrow frames, in the order of
+the shuffle; they are put into arrival order as a whole, as five plain columns of a micro-batch, whose size the source
+bounds (maxFilesPerTrigger, maxBytesPerTrigger)."""
 
 from __future__ import annotations
 
@@ -15,6 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from meteolith.config import DEFAULT, VARIABLES, Rules
 from meteolith.functions.physics import micros
 
+#: Rows of a frame of results.
+FRAME = 10_000
 STATE = "clock bigint, " + ", ".join(f"last_{v} double, anchor_{v} double, run_{v} bigint, missing_{v} bigint" for v in VARIABLES)
 OUTPUT = "station_id string, seq bigint, rule_score double, has_hard boolean, persistence_score double, " + ", ".join(f"rule_{v} double" for v in VARIABLES)
 
@@ -80,15 +84,18 @@ def score_stream(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         station = Station(state.get if state.exists else None, cfg)
-        for frame in frames:
-            rows = []
-            for r in frame.sort_values("seq").itertuples(index=False):
-                if pd.isna(r.us):
-                    station = Station(None, cfg)
-                    continue
-                got = station.step(int(r.us), {v: None if pd.isna(getattr(r, v)) else float(getattr(r, v)) for v in VARIABLES})
-                rows.append({"station_id": key[0], "seq": r.seq} | got)
-            yield pd.DataFrame(rows, columns=names)
+        batch = pd.concat(list(frames), ignore_index=True).sort_values("seq", kind="stable")
+        rows = []
+        for r in batch.itertuples(index=False):
+            if pd.isna(r.us):
+                station = Station(None, cfg)
+                continue
+            got = station.step(int(r.us), {v: None if pd.isna(getattr(r, v)) else float(getattr(r, v)) for v in VARIABLES})
+            rows.append({"station_id": key[0], "seq": r.seq} | got)
+            if len(rows) == FRAME:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        yield pd.DataFrame(rows, columns=names)
         state.update(station.values())
 
     keyed = obs.select("station_id", "seq", micros(F.col("timestamp")).alias("us"), *VARIABLES)

@@ -135,7 +135,7 @@ def reading(station, seq, t, at=T0):
 
 def consensus(spark, rows):
     s = spark.createDataFrame(STATIONS, observations.STATIONS)
-    return {r["target_seq"]: r for r in spatial.consensus(spatial.neighbours(spark.createDataFrame(rows, observations.SCHEMA), s)).collect()}
+    return {r["target_seq"]: r for r in spatial.consensus(spatial.heaviest(spark.createDataFrame(rows, observations.SCHEMA), s)).collect()}
 
 
 def test_neighbours_are_near_and_alike(spark):

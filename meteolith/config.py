@@ -139,14 +139,6 @@ class Shapley:
     top: int = 5
 
 
-@dataclass(frozen=True)
-class Api:
-    host: str = "127.0.0.1"
-    port: int = 8765
-    default_limit: int = 200
-    max_limit: int = 5000
-
-
 @dataclass(frozen=True)
 class Config:
     rules: Rules = field(default_factory=Rules)
@@ -161,7 +153,6 @@ class Config:
     injection: Injection = field(default_factory=Injection)
     forest: Forest = field(default_factory=Forest)
     shapley: Shapley = field(default_factory=Shapley)
-    api: Api = field(default_factory=Api)
 
     def to_json(self) -> str:
         return json.dumps(dataclasses.asdict(self))

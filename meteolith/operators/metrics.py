@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meteolith.config import BENIGN
+from meteolith.config import BENIGN, VARIABLES
 
 
 def _sum(c: Column) -> Column:
@@ -114,9 +114,36 @@ def latency(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def case_studies(df: DataFrame, top: int = 8) -> DataFrame:
-    """The likeliest row of each class (first of equals), the `top` likeliest of those."""
-    w = Window.partitionBy("fault_class").orderBy(F.desc("probability"), "seq")
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n").orderBy(F.desc("probability"), "seq").limit(top)
+    """The likeliest detected row of each fault class (first of equals) and the likeliest genuine extreme that was left
+    alone; the `top` likeliest of those."""
+    quiet = (F.col("fault_class") == "genuine_extreme") & ~F.col("pred")
+    told = df.where((~F.col("fault_class").isin(*BENIGN) & F.col("pred")) | quiet)
+    best = told.groupBy("fault_class").agg(F.min_by(F.struct(*df.columns), F.struct((-F.col("probability")).alias("p"), "seq")).alias("x"))
+    return best.select("x.*").orderBy(F.desc("probability"), "seq").limit(top)
+
+
+def compare(df: DataFrame, detectors: dict[str, Column], cut: float = 0.5) -> DataFrame:
+    """One row for each detector: point metrics at `cut`, the share of genuine extremes it flags, and the exact area
+    under its curve. Genuine extremes count as normal. Needs truth, fault_class; scores lie in [0, 1]."""
+    scores = F.array(*[F.struct(F.lit(n).alias("detector"), c.cast("double").alias("score")) for n, c in detectors.items()])
+    rows = df.select("truth", "fault_class", F.explode(scores).alias("x")).select("truth", "fault_class", "x.*").withColumn("pred", F.col("score") >= cut)
+    points = point_metrics(rows, ["detector"])
+    genuine = rows.groupBy("detector").agg(F.coalesce(F.avg(F.when(F.col("fault_class") == "genuine_extreme", F.col("pred").cast("double"))), F.lit(0.0)).alias("genuine_far"))
+    # As cuts(), by detector: counts by score, totals of 256 ranges of it, then cumulated within a range.
+    g = rows.groupBy("detector", "score").agg(_sum(F.col("truth")).alias("p"), _sum(~F.col("truth")).alias("n")).withColumn("bucket", F.floor(F.col("score") * 256))
+    above = Window.partitionBy("detector").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = g.groupBy("detector", "bucket").agg(F.sum("p").alias("bp")).withColumn("p0", F.coalesce(F.sum("bp").over(above), F.lit(0))).drop("bp")
+    own = Window.partitionBy("detector", "bucket").orderBy(F.desc("score"))
+    c = g.join(totals, ["detector", "bucket"]).withColumn("tp", F.col("p0") + F.sum("p").over(own))
+    area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)) / F.when((F.sum("p") > 0) & (F.sum("n") > 0), F.sum("p") * F.sum("n"))
+    return points.join(genuine, "detector").join(c.groupBy("detector").agg(area.alias("auc")), "detector")
+
+
+def reconstruction_by_variable(df: DataFrame) -> DataFrame:
+    """variable, n, mean_error of rows that are not anomalous and have a reconstruction."""
+    errors = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"recon_error_{v}").alias("error")) for v in VARIABLES])
+    x = df.where(~F.col("is_anomaly") & F.col("recon_available")).select(F.explode(errors).alias("x")).select("x.*")
+    return x.groupBy("variable").agg(F.count("error").alias("n"), F.avg("error").alias("mean_error"))
 
 
 def timelines(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -147,6 +147,26 @@ STATUS = "CASE WHEN {n} < 48 THEN 'UNKNOWN' WHEN {s} < 40 THEN 'CRITICAL' WHEN {
 QC = "CASE WHEN temp_c IS NULL AND pressure_hpa IS NULL AND rh_pct IS NULL THEN 'MISSING' WHEN is_anomaly THEN CASE WHEN {c} THEN 'ESTIMATED' ELSE 'QUARANTINED' END WHEN NOT complete THEN 'MISSING' WHEN band = 'WATCH' THEN 'SUSPECT' ELSE 'PASS' END"
 POINT = """sum((truth AND pred)::INT)::BIGINT AS tp, sum((NOT truth AND pred)::INT)::BIGINT AS fp, sum((truth AND NOT pred)::INT)::BIGINT AS fn, sum((NOT truth AND NOT pred)::INT)::BIGINT AS tn"""
 SCORES = "round(tp / greatest(tp + fp, 1), 6) AS precision, round(tp / greatest(tp + fn, 1), 6) AS recall, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(fp / greatest(fp + tn, 1), 6) AS false_alarm_rate"
+CONSENSUS = f"""{NEAR}, x AS (SELECT *, CASE WHEN t_temp_c IS NOT NULL THEN n_temp_c + 0.0065 * (zn - zt) END AS x_temp_c,
+      CASE WHEN t_pressure_hpa IS NOT NULL THEN n_pressure_hpa * exp(-9.80665 * (zt - zn) / (287.058 * CASE WHEN n_temp_c IS NULL OR n_temp_c + 273.15 < 200 THEN 288.15 ELSE n_temp_c + 273.15 END)) END AS x_pressure_hpa, CASE WHEN t_rh_pct IS NOT NULL THEN n_rh_pct END AS x_rh_pct FROM near),
+     m AS (SELECT *, {each('sum(weight * x_{v}) OVER (PARTITION BY target_seq) / sum(CASE WHEN x_{v} IS NOT NULL THEN weight END) OVER (PARTITION BY target_seq) AS e_{v}')} FROM x),
+     g AS (SELECT target_seq, count(*) AS n_neighbours, string_agg(neighbour, ',' ORDER BY rank) AS neighbour_ids, {each('any_value(t_{v}) AS t_{v}, any_value(e_{v}) AS e_{v}, sum(weight * pow(x_{v} - e_{v}, 2)) / sum(CASE WHEN x_{v} IS NOT NULL THEN weight END) AS var_{v}')} FROM m GROUP BY 1),
+     e AS (SELECT *, {each('CASE WHEN n_neighbours >= 2 THEN e_{v} END AS expected_{v}')} FROM g), r AS (SELECT *, {each('abs(t_{v} - expected_{v}) AS residual_{v}')} FROM e),
+     z AS (SELECT *, {", ".join(f"residual_{v} / greatest(sqrt(var_{v}), {f}) AS normalised_{v}" for v, f in ((T, 1.0), (P, 0.8), (H, 4.0)))} FROM r), w AS (SELECT *, greatest({each('normalised_{v}')}) AS worst FROM z)"""
+RECORD = f"{L1}, s AS (SELECT *, {each('greatest(hard_{v}::INT::DOUBLE, missing_score_{v}, rate_score_{v}) AS rule_{v}')}, {each('hard_{v}', ' OR ')} AS has_hard, CASE WHEN gap_us = 0 THEN 0.7 WHEN gap_us < 0 THEN 0.8 ELSE 0 END AS rec FROM rates)"
+BAND = "CASE WHEN probability < 0.3 THEN 'NORMAL' WHEN probability < 0.6 THEN 'WATCH' WHEN probability < 0.8 THEN 'SUSPICIOUS' WHEN probability < 0.95 THEN 'HIGH' ELSE 'CRITICAL' END"
+
+
+def compared(scores: dict[str, str]) -> str:
+    """CTEs from `judged` (truth, fault_class and columns of scores) to `compared`, one row for each detector."""
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS detector, truth, fault_class, ({c})::DOUBLE AS score FROM judged" for n, c in scores.items())
+    return f"""rows_ AS ({rows}), pts AS (SELECT detector, {POINT}, coalesce(avg(pred::INT) FILTER (fault_class = 'genuine_extreme'), 0) AS genuine_far FROM (SELECT *, score >= 0.5 AS pred FROM rows_) GROUP BY 1),
+     cnt AS (SELECT detector, score, sum(truth::INT) AS p, sum((NOT truth)::INT) AS n FROM rows_ GROUP BY 1, 2), cum AS (SELECT *, sum(p) OVER (PARTITION BY detector ORDER BY score DESC) AS tp FROM cnt),
+     area AS (SELECT detector, sum(n * (tp - p / 2.0::DOUBLE)) / (sum(p) * sum(n)) AS auc FROM cum GROUP BY 1),
+     compared AS (SELECT *, tp / greatest(tp + fp, 1) AS precision, tp / greatest(tp + fn, 1) AS recall, coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, fp / greatest(fp + tn, 1) AS false_alarm_rate FROM pts JOIN area USING (detector))"""
+
+
+JUDGED = "judged AS (SELECT *, CASE WHEN truth THEN 'noise' WHEN seq % 11 = 0 THEN 'genuine_extreme' ELSE 'none' END AS fault_class FROM (SELECT *, has_hard OR event_type = 'error' AS truth FROM {t}))"
 SQL = {
     "l1_sentinel_range": f"WITH {OBS}, {HARD} SELECT seq, station_id, {each('corrupt_{v}, range_{v}, hard_{v}')} FROM hard",
     "l1_missing_run": f"WITH {OBS}, {HARD}, {RUNS}, {MISSING} SELECT seq, {each('missing_run_{v}')}, {r6(each('missing_score_{v}'))} FROM missing",
@@ -188,13 +208,7 @@ SQL = {
       round(sin(ha), 6) AS hour_sin, round(cos(ha), 6) AS hour_cos, round(sin(da), 6) AS day_sin, round(cos(da), 6) AS day_cos, round(1 / (1 + exp(-(temp_c - 20) / 3)), 6) AS sigmoid FROM e""",
     "station_pairs": f"WITH {PAIRS} SELECT target, neighbour, {r6('distance_km, dz, weight')} FROM pairs",
     "spatial_neighbours_topk": f"WITH {NEAR} SELECT target_seq, neighbour, n_seq, rank::INT AS rank, round(weight, 6) AS weight FROM near",
-    "spatial_consensus": f"""WITH {NEAR}, x AS (SELECT *, CASE WHEN t_temp_c IS NOT NULL THEN n_temp_c + 0.0065 * (zn - zt) END AS x_temp_c,
-      CASE WHEN t_pressure_hpa IS NOT NULL THEN n_pressure_hpa * exp(-9.80665 * (zt - zn) / (287.058 * CASE WHEN n_temp_c IS NULL OR n_temp_c + 273.15 < 200 THEN 288.15 ELSE n_temp_c + 273.15 END)) END AS x_pressure_hpa, CASE WHEN t_rh_pct IS NOT NULL THEN n_rh_pct END AS x_rh_pct FROM near),
-     m AS (SELECT *, {each('sum(weight * x_{v}) OVER (PARTITION BY target_seq) / sum(CASE WHEN x_{v} IS NOT NULL THEN weight END) OVER (PARTITION BY target_seq) AS e_{v}')} FROM x),
-     g AS (SELECT target_seq, count(*) AS n_neighbours, string_agg(neighbour, ',' ORDER BY rank) AS neighbour_ids, {each('any_value(t_{v}) AS t_{v}, any_value(e_{v}) AS e_{v}, sum(weight * pow(x_{v} - e_{v}, 2)) / sum(CASE WHEN x_{v} IS NOT NULL THEN weight END) AS var_{v}')} FROM m GROUP BY 1),
-     e AS (SELECT *, {each('CASE WHEN n_neighbours >= 2 THEN e_{v} END AS expected_{v}')} FROM g), r AS (SELECT *, {each('abs(t_{v} - expected_{v}) AS residual_{v}')} FROM e),
-     z AS (SELECT *, {", ".join(f"residual_{v} / greatest(sqrt(var_{v}), {f}) AS normalised_{v}" for v, f in ((T, 1.0), (P, 0.8), (H, 4.0)))} FROM r), w AS (SELECT *, greatest({each('normalised_{v}')}) AS worst FROM z)
-     SELECT target_seq, n_neighbours, neighbour_ids, worst IS NOT NULL AS spatial_available, round(coalesce(1 / (1 + exp(-(worst - 3.5))), 0), 6) AS spatial_p, {r6(each('expected_{v}, residual_{v}, normalised_{v}'))} FROM w""",
+    "spatial_consensus": f"WITH {CONSENSUS} SELECT target_seq, n_neighbours, neighbour_ids, worst IS NOT NULL AS spatial_available, round(coalesce(1 / (1 + exp(-(worst - 3.5))), 0), 6) AS spatial_p, {r6(each('expected_{v}, residual_{v}, normalised_{v}'))} FROM w",
     "fusion_probability": f"WITH {FUSED} SELECT seq, damped, band, is_anomaly, dominant_variable, round(probability, 6) AS probability FROM fused",
     "fusion_ablation": f"WITH {EVIDENCE} SELECT seq, round({fused(())}, 6) AS p_rules, round({fused(ALL[:1])}, 6) AS p_recon, round({fused(ALL[:2])}, 6) AS p_multi, round({fused(ALL)}, 6) AS p_full FROM ev",
     "qc_status": f"WITH {FUSED} SELECT station_id, {QC.format(c='seq % 2 = 0')} AS qc_status, count(*) AS n FROM fused GROUP BY 1, 2",
@@ -234,7 +248,14 @@ SQL = {
     "average_precision": f"WITH {LABELLED}, g AS (SELECT score, sum(truth::INT) AS p, sum((NOT truth)::INT) AS n FROM lab GROUP BY 1), c AS (SELECT p, n, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp FROM g) SELECT round(sum(p * tp / greatest(tp + fp, 1)) / sum(p), 6) AS average_precision, round(sum(p) / sum(p + n), 6) AS baseline FROM c",
     "score_histogram": f"WITH {LABELLED} SELECT least(floor(score * 20), 19)::BIGINT AS bin, count(*) AS n FROM lab GROUP BY 1",
     "latency_percentiles": f"WITH {LABELLED}, x AS (SELECT pred, (seq * 131 % 977) / 1000.0::DOUBLE AS l FROM lab) SELECT pred, round(avg(l), 6) AS mean, round(quantile_cont(l, 0.5), 6) AS median, round(quantile_cont(l, 0.95), 6) AS p95, round(quantile_cont(l, 0.99), 6) AS p99 FROM x GROUP BY 1",
-    "case_studies": f"WITH {LABELLED}, b AS (SELECT seq, fault_class, score AS probability FROM lab QUALIFY row_number() OVER (PARTITION BY fault_class ORDER BY score DESC, seq) = 1) SELECT * FROM b ORDER BY probability DESC, seq LIMIT 8",
+    "case_studies": f"WITH {LABELLED}, b AS (SELECT seq, fault_class, score AS probability FROM lab WHERE (fault_class NOT IN ('none', 'genuine_extreme') AND pred) OR (fault_class = 'genuine_extreme' AND NOT pred) QUALIFY row_number() OVER (PARTITION BY fault_class ORDER BY score DESC, seq) = 1) SELECT * FROM b ORDER BY probability DESC, seq LIMIT 8",
+    "detector_comparison": f"WITH {FUSED}, {JUDGED.format(t='fused')}, {compared({'rules': 'rule_score', 'autoencoder': 'CASE WHEN recon_available THEN recon_p ELSE 0 END', 'consensus': 'CASE WHEN spatial_available THEN spatial_p ELSE 0 END', 'fused': 'probability'})} SELECT detector, tp, fp, fn, tn, {r6('precision, recall, f1, false_alarm_rate, genuine_far, auc')} FROM compared",
+    "ablation_ladder": f"WITH {EVIDENCE}, {JUDGED.format(t='ev')}, {compared({'rules': fused(()), 'with autoencoder': fused(ALL[:1]), 'with joint state': fused(ALL[:2]), 'full': fused(ALL)})} SELECT detector, " + ", ".join(f"round({x}, 4) AS {x}" for x in ("f1", "precision", "false_alarm_rate", "genuine_far", "auc")) + " FROM compared",
+    "reconstruction_by_variable": f"WITH {FUSED} " + " UNION ALL ".join(f"SELECT '{v}' AS variable, count(*) AS n, round(avg(recon_error_{v}), 6) AS mean_error FROM fused WHERE NOT is_anomaly AND recon_available" for v in VARIABLES),
+    "engine_without_models": f"""WITH {RECORD}, near_ AS (WITH {CONSENSUS} SELECT target_seq, worst IS NOT NULL AS spatial_available, coalesce(1 / (1 + exp(-(worst - 3.5))), 0) AS spatial_p FROM w),
+     j AS (SELECT s.*, greatest({each('rule_{v}')}, rec) AS rule_score, coalesce(spatial_available, false) AS spatial_available, coalesce(spatial_p, 0) AS spatial_p FROM s LEFT JOIN near_ ON target_seq = seq),
+     p AS (SELECT *, least(greatest(CASE WHEN has_hard THEN greatest(q, 0.95::DOUBLE) ELSE q END, 0), 1) AS probability FROM (SELECT *, (rule_score + CASE WHEN spatial_available THEN 0.8::DOUBLE * spatial_p ELSE 0 END) / (1.85::DOUBLE + CASE WHEN spatial_available THEN 0.8::DOUBLE ELSE 0 END) AS q FROM j))
+     SELECT seq, station_id, has_hard, spatial_available, {BAND} AS band, probability >= 0.5 AS is_anomaly, CASE WHEN greatest({each('rule_{v}')}) <= 0 THEN NULL WHEN rule_temp_c >= rule_pressure_hpa AND rule_temp_c >= rule_rh_pct THEN 'temp_c' WHEN rule_pressure_hpa >= rule_rh_pct THEN 'pressure_hpa' ELSE 'rh_pct' END AS dominant_variable, {r6('rule_score, spatial_p, probability')} FROM p""",
     "worklist_topn": f"WITH {FUSED} SELECT seq, station_id, timestamp, band, round(probability, 6) AS probability FROM fused WHERE is_anomaly ORDER BY timestamp DESC, seq DESC LIMIT 200",
     "station_range_scan": f"WITH {OBS} SELECT seq, timestamp, temp_c, pressure_hpa, rh_pct FROM obs WHERE station_id = 'S03' AND timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'",
     "record_counts": f"WITH {OBS} SELECT station_id, count(*) AS n FROM obs GROUP BY 1",

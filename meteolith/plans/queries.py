@@ -443,6 +443,32 @@ def case_studies(spark, d):
     return metrics.case_studies(x).select("seq", "fault_class", "probability")
 
 
+def judged(spark, d) -> DataFrame:
+    """The made-up evidence with truth and classes."""
+    e = evidence(spark, d).withColumn("truth", F.col("has_hard") | (F.col("event_type") == "error"))
+    return e.withColumn("fault_class", F.when(F.col("truth"), "noise").when(F.expr("seq % 11") == 0, "genuine_extreme").otherwise("none"))
+
+
+@query
+def detector_comparison(spark, d):
+    e = fusion.fuse(judged(spark, d))
+    detectors = {"rules": F.col("rule_score"), "autoencoder": F.when(F.col("recon_available"), F.col("recon_p")).otherwise(0.0), "consensus": F.when(F.col("spatial_available"), F.col("spatial_p")).otherwise(0.0), "fused": F.col("probability")}
+    return rounded(metrics.compare(e, detectors), ["detector", "tp", "fp", "fn", "tn"], ["precision", "recall", "f1", "false_alarm_rate", "genuine_far", "auc"])
+
+
+@query
+def ablation_ladder(spark, d):
+    """The layers added one by one, figures to four places."""
+    steps = {"rules": "p_rules", "with autoencoder": "p_recon", "with joint state": "p_multi", "full": "p_full"}
+    c = metrics.compare(fusion.ablation(judged(spark, d)), {n: F.col(c) for n, c in steps.items()})
+    return c.select("detector", *[F.round(x, 4).alias(x) for x in ("f1", "precision", "false_alarm_rate", "genuine_far", "auc")])
+
+
+@query
+def reconstruction_by_variable(spark, d):
+    return rounded(metrics.reconstruction_by_variable(fusion.fuse(evidence(spark, d))), ["variable", "n"], ["mean_error"])
+
+
 # Serving reads
 
 
@@ -478,27 +504,34 @@ def fitted(spark, d) -> pipeline.Fitted:
     return pipeline.fit(*chronological(clean), whole=clean)
 
 
+@query
+def engine_without_models(spark, d):
+    """The whole chain where nothing was fitted: rules, consensus, fusion; the model's layers abstain."""
+    out = pipeline.process(obs(spark, d), source.stations(spark), pipeline.Fitted(), explain=False)
+    return rounded(out, ["seq", "station_id", "has_hard", "spatial_available", "band", "is_anomaly", "dominant_variable"], ["rule_score", "spatial_p", "probability"])
+
+
 @query
 def full_pipeline(spark, d):
     out = pipeline.process(obs(spark, d), source.stations(spark), fitted(spark, d), explain=False)
     return out.select("seq", "station_id", "timestamp", "rule_score", "recon_p", "multi_p", "spatial_p", "probability", "band", "is_anomaly", "dominant_variable", "qc_status", "explanation")
 
 
-def trained_forest(spark, d, detected: DataFrame) -> diagnosis.FaultForest:
-    """Fitted on at most 2000 fingerprints, labelled by the made-up classes."""
+def trained_forest(spark, d, f: pipeline.Fitted, most: int = 2000) -> diagnosis.FaultForest:
+    """Fitted on at most `most` fingerprints of faults put into the clean hourly grid, chosen by hash."""
     import numpy as np
 
-    rows = detected.where("fingerprint is not null").join(labelled(spark, d).select("seq", F.col("fault_class").alias("c")), "seq").orderBy(F.xxhash64("seq"), "seq").limit(2000).select("fingerprint", "c").collect()
+    g = gridded(spark, d).where(temporal.complete())
+    rows = pipeline.training_set(g.drop("event_type"), source.stations(spark), f).orderBy(F.xxhash64("fingerprint"), "fault_class").limit(most).collect()
     return diagnosis.FaultForest(DEFAULT.forest).fit(np.array([r[0] for r in rows], float), [r[1] for r in rows])
 
 
 @query
 def fault_diagnosis(spark, d):
     f = fitted(spark, d)
-    base = pipeline.process(obs(spark, d), source.stations(spark), f, explain=False)
-    f.forest = trained_forest(spark, d, base)
-    out = pipeline.process(obs(spark, d), source.stations(spark), f)
-    return out.where("is_anomaly").select("seq", "station_id", "fault_class", "confidence", "severity", "recommended_action", F.to_json(diagnosis.shares()).alias("evidence"), "explanation")
+    f.forest = trained_forest(spark, d, f)
+    out = pipeline.process(obs(spark, d), source.stations(spark), f).where("is_anomaly")
+    return out.select("seq", "station_id", "fault_class", "confidence", "severity", "recommended_action", F.to_json(diagnosis.shares()).alias("evidence"), F.array_join(diagnosis.narrative(), "\n").alias("narrative"), "explanation")
 
 
 @query

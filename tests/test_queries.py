@@ -11,9 +11,108 @@ def test_matches_sql(spark, duck, small, name):
     assert comparable(queries.QUERIES[name](spark, small).toPandas()) == duck(oracles.SQL[name])
 
 
-@pytest.mark.parametrize("name", ["isolation_forest", "lof", "plain_autoencoder", "lstm_reconstruction", "injected_network", "multivariate_evaluate"])
-def test_runs_over_every_row(spark, small, name):
-    assert queries.QUERIES[name](spark, small).count() > 900
+def test_joint_state_equals_numpy(spark, small):
+    """Moments, inverse and distances of the registered query against plain numpy, station by station."""
+    import numpy as np
+
+    from meteolith.config import DEFAULT, VARIABLES
+    from meteolith.operators import rules
+    from meteolith.sources import observations as source
+
+    o = source.trusted(rules.layer(queries.obs(spark, small))).toPandas()
+    got = queries.multivariate_evaluate(spark, small).toPandas().set_index("seq")
+    cfg = DEFAULT.multivariate
+    compared = 0
+    for _, g in o.groupby("station_id"):
+        clean = g[g["keep"]].sort_values(["timestamp", "seq"])
+        x = clean[list(VARIABLES)].to_numpy(float)
+        f = np.concatenate([x[1:], np.diff(x, axis=0)], axis=1)
+        med = np.median(f, axis=0)
+        scale = np.maximum(1.4826 * np.median(np.abs(f - med), axis=0), 1e-9)
+        z = (f - med) / scale
+        inverse = np.linalg.inv((1 - cfg.shrinkage) * (z.T @ z / len(z)) + cfg.shrinkage * np.eye(6))
+        last = x[-1]
+        for r in g.sort_values("seq").itertuples():
+            v = np.array([getattr(r, name) for name in VARIABLES], float)
+            if np.isnan(v).any() or r.has_hard or len(z) < cfg.min_samples:
+                assert not got.loc[r.seq, "multi_available"]
+                continue
+            q = (np.concatenate([v, v - last]) - med) / scale
+            assert got.loc[r.seq, "mahalanobis"] == pytest.approx(np.sqrt(q @ inverse @ q), rel=1e-6)
+            last, compared = v, compared + 1
+    assert compared > 500
+
+
+def test_detectors_score_every_row_alike(spark, small):
+    """A row's score is finite, equal readings of a station have equal scores, and far values score higher."""
+    o = queries.obs(spark, small).toPandas()
+    for name in ("isolation_forest", "lof"):
+        got = queries.QUERIES[name](spark, small).toPandas()
+        assert sorted(got["seq"]) == sorted(o["seq"]) and got["score"].dropna().between(-1e9, 1e9).all(), name
+        x = o.merge(got, on=["seq", "station_id"])
+        far = x[x["temp_c"] == -9999.0]["score"].dropna()
+        assert far.empty or far.median() > x[x["temp_c"] > -100]["score"].median(), name
+
+
+def test_injected_network_follows_its_plan(spark, small):
+    """Cells outside the spans are untouched; inside, each class changes its variable as defined."""
+    from meteolith.config import VARIABLES
+
+    g = queries.gridded(spark, small).toPandas().set_index(["station_id", "step"])
+    got = queries.injected_network(spark, small).toPandas().set_index(["station_id", "step"])
+    assert len(got) == len(g) and got["is_fault"].sum() > 0.03 * len(g)
+    clean = got[~got["is_fault"]]
+    for v in VARIABLES:
+        a, b = clean[v], g.loc[clean.index, v]
+        same = (a.isna() & b.isna()) | ((a - (b.clip(0, 100) if v == "rh_pct" else b)).abs() < 1e-9)
+        assert same.all(), v
+    assert (got[got["fault_class"] == "corrupt"][list(VARIABLES)] == -9999.0).any(axis=1).all()
+    assert got[got["fault_class"] == "missing"][list(VARIABLES)].isna().any(axis=1).all()
+
+
+def test_training_set_and_narrative(spark, small):
+    """The forest learns from injected faults; its verdicts on them come with evidence in words."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from meteolith.operators import diagnosis, grid
+    from meteolith.plans import pipeline
+    from meteolith.sources import observations as source
+
+    rng = np.random.default_rng(0)
+    rows = [(s, t, 20 + 5 * np.sin(t / 4) + rng.normal() * 0.2, 1000 + rng.normal() * 0.3, 60 + rng.normal()) for s in ("S00", "S03", "S07") for t in range(500)]
+    g = spark.createDataFrame([(s, int(t), float(a), float(b), float(c)) for s, t, a, b, c in rows], "station_id string, step bigint, temp_c double, pressure_hpa double, rh_pct double")
+    g = g.withColumn("timestamp", F.expr("timestampadd(HOUR, int(step), timestamp_ntz'2024-01-01 00:00:00')"))
+    clean = grid.observations(g).drop("step")
+    fitted = pipeline.Fitted(multivariate=pipeline.multivariate.fit(clean))
+    learned = pipeline.training_set(g, source.stations(spark), fitted).toPandas()
+    assert len(learned) > 5 and {"drift", "spatial"} <= set(learned["fault_class"]) and set(map(len, learned["fingerprint"])) == {len(diagnosis.FEATURES)}
+    one = spark.createDataFrame([("drift", "HIGH", 0.8, [("temperature", 0.3), ("rate", -0.1)], "inspect")], "fault_class string, severity string, confidence double, evidence array<struct<label:string,contribution:double>>, recommended_action string")
+    assert one.select(diagnosis.narrative().alias("x")).first()[0] == ["drift, severity HIGH, confidence 0.80", "temperature speaks for it (75 %)", "rate speaks against it (25 %)", "inspect"]
+
+
+def test_stream_keeps_arrival_order_over_many_frames(spark, small, tmp_path):
+    """Eight files and Arrow frames of a hundred rows give the scores of the batch rules."""
+    import uuid
+
+    from meteolith.config import VARIABLES
+    from meteolith.operators import rules
+    from meteolith.sources import observations as source
+    from meteolith.streaming import stateful
+
+    o = source.from_events(spark, "/root/testdata/sf0.01").drop("event_type")
+    folder = str(tmp_path / uuid.uuid4().hex)
+    o.repartition(8).write.parquet(folder)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        stream = stateful.score_stream(spark.readStream.schema(o.schema).parquet(folder))
+        got = stateful.replay(stream, str(tmp_path / "run")).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    columns = ["seq", "rule_score", *[f"rule_{v}" for v in VARIABLES]]
+    want = rules.layer(o).select(*columns).toPandas()
+    assert comparable(got[columns]) == comparable(want)
 
 
 def test_fitted_on_whole_data_with_the_defaults(spark, small):

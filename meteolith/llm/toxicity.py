@@ -19,10 +19,7 @@ alike; columns that clash with a result column are replaced.
 from __future__ import annotations
 
 import itertools
-import math
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +49,7 @@ SUBSTITUTE, DROP, REPEAT, KEEP = 0.5, 0.7, 0.3, 2.5
 #: Signs that never stand for a letter; at a token's ends they are punctuation.
 _EDGE = "#%&*\"'.,;:?)[]{}<>-_~^`=/\\“”«»…"
 _ODD = re.compile(r"[^\w]|[\d_]|([^\W\d_])\1")
+_TRIPLE = re.compile(r"(.)\1\1")
 _SPELT = re.compile(r"(?<!\S)[^\W_](?:[ \t\n.\-_*]{1,2}[^\W_]){2,}(?!\S)")
 FIELDS = [T.StructField("score", T.DoubleType())]
 
@@ -172,6 +170,8 @@ class Restorer:
         t = token.strip(_EDGE)
         if not _ODD.search(t):
             return (t,)
+        if t.isalpha() and not _TRIPLE.search(t):  # doubled letters alone: as written, or merged
+            return tuple(sorted({t, self.decode(t)}))
         plain = t.isalnum()
         ends = (None,) if plain or (t[:1].isalnum() and t[-1:].isalnum()) else (None, True, False) if any(map(str.isalnum, t)) else (None,)
         doubles = (True, False) if any(a == b for a, b in zip(t, t[1:], strict=False)) else (True,)
@@ -179,38 +179,85 @@ class Restorer:
         return tuple(sorted(found | {t} if plain else found))
 
 
-def _hash(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) >> (32 - BITS)
+_U = np.uint64
+_P, _A, _B = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _A
+    x = (x ^ (x >> _U(27))) * _B
+    return (x ^ (x >> _U(31))) >> _U(64 - BITS)
+
+
+def hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of non-empty words, word by word, and where each word's begin: the word and its beginnings of
+    STEMS characters, each as a polynomial of its characters."""
+    data = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32).astype(_U) + _U(1)
+    n = np.array([len(w) for w in words], np.int64)
+    start = np.cumsum(n) - n
+    powers = np.full(int(n.max(initial=1)), _P, _U)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(data * powers[np.arange(len(data)) - np.repeat(start, n)], dtype=_U)])
+    found, owner = [_mix(sums[start + n] - sums[start] + n.astype(_U) * _P)], [np.arange(len(words))]
+    for k in STEMS:
+        at = np.flatnonzero(n > k)
+        found.append(_mix((sums[start[at] + k] - sums[start[at]]) ^ _U(k * int(_B) % (1 << 64))))
+        owner.append(at)
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(found)[order].astype(np.int32), np.searchsorted(owner[order], np.arange(len(words) + 1))
 
 
 class Words:
     """Hashed features of texts' distinct restored words: each word, and its beginnings of STEMS characters. Each
-    distinct token is read once. Features without a weight may be left out."""
+    distinct token is read once. Features that are not `used` (a mask) are left out."""
 
-    def __init__(self, model: np.ndarray, weights: dict[int, float] | None = None):
-        self.restorer, self.weights = Restorer(model), weights
-        self.known: dict[str, tuple[str, ...]] = {}
-        self.features: dict[str, tuple[int, ...]] = {}
+    def __init__(self, model: np.ndarray, used: np.ndarray | None = None):
+        self.restorer, self.used = Restorer(model), used
+        self._forget()
 
-    def of_word(self, word: str) -> tuple[int, ...]:
-        got = [_hash(word), *(_hash("^" + word[:k]) for k in STEMS if len(word) > k)]
-        return tuple(g for g in got if self.weights is None or g in self.weights)
+    def _forget(self) -> None:
+        self.known: dict[str, tuple[int, ...]] = {}  # token: numbers of its readings
+        self.numbers: dict[str, int] = {}
+        self.flat, self.at = np.empty(0, np.int32), np.zeros(1, np.int64)
 
-    def __call__(self, text: str | None) -> list[int]:
-        """Features, one entry for each word that has them."""
-        if not text:
-            return []
+    def of_word(self, word: str) -> list[int]:
+        return hashes([word])[0].tolist()
+
+    def _number(self, word: str) -> int:
+        return self.numbers.setdefault(word, len(self.numbers))
+
+    def features(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, feature), texts ascending: one entry for each word of a text that has the feature."""
         if len(self.known) > REMEMBERED:
-            self.known, self.features = {}, {}
-        text = text.lower()
-        tokens = set(text.split())
-        for t in [t for t in tokens if t not in self.known]:
-            self.known[t] = self.restorer.readings(t)
-        words = set(itertools.chain.from_iterable(map(self.known.__getitem__, tokens)))
-        words.update(self.restorer.decode(m[0], spelt=True) for m in _SPELT.finditer(text))
-        for w in [w for w in words if w not in self.features]:
-            self.features[w] = self.of_word(w)
-        return [*itertools.chain.from_iterable(map(self.features.__getitem__, words))]
+            self._forget()
+        rows: list[set[int]] = []
+        for text in texts:
+            text = text.lower() if text else ""
+            tokens = set(text.split())
+            for t in tokens:
+                if t not in self.known:
+                    self.known[t] = tuple(self._number(w) for w in self.restorer.readings(t) if w)
+            own = set(itertools.chain.from_iterable(map(self.known.__getitem__, tokens)))
+            own.update(self._number(w) for m in _SPELT.finditer(text) if (w := self.restorer.decode(m[0], spelt=True)))
+            rows.append(own)
+        new = list(itertools.islice(self.numbers, len(self.at) - 1, None))
+        if new:
+            flat, at = hashes(new)
+            if self.used is not None:
+                keep = self.used[flat]
+                flat, at = flat[keep], np.concatenate([[0], np.cumsum(keep)])[at]
+            self.flat, self.at = np.concatenate([self.flat, flat]), np.concatenate([self.at, self.at[-1] + at[1:]])
+        n = np.array([len(r) for r in rows], np.int64)
+        words = np.fromiter(itertools.chain.from_iterable(rows), np.int64, int(n.sum()))
+        size = self.at[words + 1] - self.at[words]
+        place = np.repeat(self.at[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.repeat(np.repeat(np.arange(len(texts)), n), size), self.flat[place]
+
+    def __call__(self, text: str | None) -> list[int]:
+        """Features of one text."""
+        return self.features([text])[1].tolist()
 
 
 def fit(row: np.ndarray, feature: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = 200) -> tuple[dict[int, float], float]:
@@ -260,7 +307,7 @@ def score(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col:
 
     def hashed():
         words = Words(model.value)
-        return lambda batch: [[words(t) for t in batch.column("__text").to_pylist()]]
+        return lambda batch: [[sorted(words(t)) for t in batch.column("__text").to_pylist()]]
 
     # The sample is bounded, so it may be broadcast to the one scan that picks its texts.
     picked = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(chosen), id_col)
@@ -276,16 +323,21 @@ def score(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col:
     fitted = spark.sparkContext.broadcast(fit(at, words.flatten().to_numpy(), y, share[y.astype(int)]))
 
     def scored():
-        w, b = fitted.value
-        words = Words(model.value, w)
+        found, bias = fitted.value
+        weight, used = np.zeros(1 << BITS), np.zeros(1 << BITS, bool)
+        weight[list(found)], used[list(found)] = list(found.values()), True
+        words = Words(model.value, used)
 
-        def one(text: str | None) -> float:
-            z = b
-            for f, n in sorted(Counter(words(text)).items()):
-                z += w[f] * math.log2(1 + n)
-            return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+        def f(batch: pa.RecordBatch) -> list:
+            texts, out = batch.column(text_col).to_pylist(), []
+            for a, b in common.slices(texts, 1_000_000):
+                row, feature = words.features(texts[a:b])
+                key, n = np.unique(row << BITS | feature, return_counts=True)
+                z = bias + np.bincount(key >> BITS, weight[key & ((1 << BITS) - 1)] * np.log2(1 + n), b - a)
+                out += (1 / (1 + np.exp(-np.clip(z, -40, 40)))).tolist()
+            return [out]
 
-        return lambda batch: [[one(t) for t in batch.column(text_col).to_pylist()]]
+        return f
 
     return common.append_columns(docs, scored, FIELDS)
 

@@ -35,6 +35,8 @@ SAMPLE = 6000
 BITS = 20
 #: Lengths of the word beginnings that are features beside whole words, least documents of a feature, and L2 penalty.
 STEMS, LEAST, PENALTY = (4, 5, 6, 7, 8), 4, 3e-4
+#: Documents of a block while the regression is fitted.
+DOCUMENTS = 3000
 SYMBOLS = 64
 REMEMBERED = 500_000
 #: Letters that digits and signs stand for.
@@ -265,7 +267,7 @@ def fit(row: np.ndarray, feature: np.ndarray, labels: np.ndarray, weights: np.nd
     least LEAST documents: {feature: weight}, bias. row, feature: one entry for each word's feature, row ascending. Arrays
     of the entries are narrow, and made in blocks of documents where they have to be wide."""
     n = len(labels)
-    cuts = np.searchsorted(row, np.append(np.arange(0, n, 500), n))
+    cuts = np.searchsorted(row, np.append(np.arange(0, n, DOCUMENTS), n))
     blocks = []
     for a, b in zip(cuts, cuts[1:], strict=False):
         key, count = np.unique(row[a:b].astype(np.int64) << BITS | feature[a:b], return_counts=True)
@@ -276,14 +278,14 @@ def fit(row: np.ndarray, feature: np.ndarray, labels: np.ndarray, weights: np.nd
     place[used] = np.arange(len(used))
     for k, (own, flat, value) in enumerate(blocks):
         keep = place[flat] >= 0
-        blocks[k] = own[keep] - 500 * k, place[flat[keep]], value[keep]
+        blocks[k] = own[keep] - DOCUMENTS * k, place[flat[keep]], value[keep]
     w, b = np.zeros(len(used)), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     weights = weights / weights.sum()
     for step in range(1, rounds + 1):
         g = np.append(PENALTY * w, 0.0)
         for k, (own, col, value) in enumerate(blocks):
-            at = slice(500 * k, min(500 * (k + 1), n))
+            at = slice(DOCUMENTS * k, min(DOCUMENTS * (k + 1), n))
             z = np.bincount(own, w[col] * value, at.stop - at.start) + b
             d = weights[at] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[at])
             g[:-1] += np.bincount(col, d[own] * value, len(used))

@@ -169,12 +169,9 @@ def error_probability(spark, d):
 
 @query
 def lstm_reconstruction(spark, d):
-    o = obs(spark, d).where(temporal.complete())
-    scaler = temporal.fit_scaler(o)
-    z = temporal.transform(o, scaler)
-    early, late = chronological(z)
-    net = pipeline.train(early, late)
-    return reconstruct(temporal.windows(z, net.window), net).select("seq", "station_id", "recon_error", *[f"recon_error_{v}" for v in VARIABLES])
+    f = fitted(spark, d)
+    z = temporal.transform(obs(spark, d).where(temporal.complete()), f.scaler)
+    return reconstruct(temporal.windows(z, f.model.window), f.model).select("seq", "station_id", "recon_error", *[f"recon_error_{v}" for v in VARIABLES])
 
 
 # Layer 3
@@ -498,10 +495,17 @@ def station_registry(spark, d):
 # Whole engine
 
 
+_FITTED: dict[int, tuple[DataFrame, pipeline.Fitted]] = {}
+
+
 def fitted(spark, d) -> pipeline.Fitted:
-    """All trusted readings; the model is trained on the earlier and stopped by the later ones."""
-    clean = source.trusted(obs(spark, d)).where("keep").drop("keep")
-    return pipeline.fit(*chronological(clean), whole=clean)
+    """All trusted readings; the model is trained on the earlier and stopped by the later ones. Queries over the same
+    table of observations share what was fitted."""
+    o = obs(spark, d)
+    if id(o) not in _FITTED:
+        clean = source.trusted(o).where("keep").drop("keep")
+        _FITTED[id(o)] = (o, pipeline.fit(*chronological(clean), whole=clean))
+    return dataclasses.replace(_FITTED[id(o)][1])
 
 
 @query
@@ -529,9 +533,9 @@ def trained_forest(spark, d, f: pipeline.Fitted, most: int = 2000) -> diagnosis.
 @query
 def fault_diagnosis(spark, d):
     f = fitted(spark, d)
-    f.forest = trained_forest(spark, d, f)
-    out = pipeline.process(obs(spark, d), source.stations(spark), f).where("is_anomaly")
-    return out.select("seq", "station_id", "fault_class", "confidence", "severity", "recommended_action", F.to_json(diagnosis.shares()).alias("evidence"), F.array_join(diagnosis.narrative(), "\n").alias("narrative"), "explanation")
+    f.forest = trained_forest(spark, d, f)  # a copy's: what is shared stays as it is
+    out = pipeline.process(obs(spark, d), source.stations(spark), f).where("is_anomaly").withColumn("narrative", F.array_join(diagnosis.narrative(), "\n"))
+    return out.select("seq", "station_id", "fault_class", "confidence", "severity", "recommended_action", F.to_json(diagnosis.shares()).alias("evidence"), "narrative", "explanation")
 
 
 @query

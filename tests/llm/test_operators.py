@@ -569,6 +569,45 @@ def test_rare_toxic_words_have_weight():
     assert set(w) == {rare, common_word} and w[rare] > 0.5 and toxicity.SAMPLE >= 6000
 
 
+def test_toxicity_on_a_small_table(spark):
+    """Few labels: held-out toxic documents of size 0.01 still score above clean ones."""
+    sf = "/root/testdata/sf0.01"
+    labels = common.read(spark, sf, "labels")
+    part = common.doc_bucket("doc_id", 5)
+    rows = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, sf).select("doc_id", "text"), labels.where(part != 0)).collect()}
+    y = {r["doc_id"]: r["toxic"] for r in labels.where(part == 0).collect()}
+    assert np.mean([rows[a] > rows[b] for a in y if y[a] == 1 for b in y if y[b] == 0]) > 0.75
+
+
+def test_feature_hashes():
+    words = ["a", "abcd", "abcde", "abcdefghij", "éàü", "x" * 5000]
+    flat, at = toxicity.hashes(words)
+    for i, w in enumerate(words):
+        own = flat[at[i] : at[i + 1]].tolist()
+        assert own == toxicity.hashes([w])[0].tolist() and len(own) == 1 + sum(len(w) > k for k in toxicity.STEMS)
+    shared = set(flat[at[2] : at[3]].tolist()) & set(flat[at[3] : at[4]].tolist())
+    assert len(shared) == 1 and 0 <= flat.min() and flat.max() < 1 << toxicity.BITS  # the beginning abcd
+
+
+# clashing names of further columns
+
+
+def test_clashing_columns_are_replaced(spark, odd):
+    clash = ["lang_pred", "score", "words", "base", "spans", "curve", "shard", "slot", "__maybe", "__h", "__id", "id", "h", "n", "bands", "key"]
+    df = odd.select("doc_id", "text", "lang", *[F.lit("old").alias(c) for c in clash])
+    d = docs(spark, "/root/testdata/sf0.01")
+    labels = common.read(spark, "/root/testdata/sf0.01", "labels")
+    assert language.identify(df, d).where("lang_pred = 'old'").count() == 0
+    assert language.label_words(df, d).selectExpr("size(words) AS n").where("n >= 0").count() == len(ODD)
+    assert pii.personal_data(df).select(pii.listed("base"), pii.listed("spans")).count() == len(ODD)
+    assert toxicity.score(df, labels).where("score between 0 and 1").count() == len(ODD)
+    cells = [hilbert.label_cell(F.col("lang")), hilbert.quantise(F.length("text"), 0, 100)]
+    assert hilbert.shards(df, cells, ["doc_id"], n=3).agg(F.countDistinct("shard")).first()[0] == 3
+    assert minhash.near_duplicates(df).count() == len(ODD) and minhash.deduplicated(df).columns == df.columns
+    assert quality.classify(df, labels.where("quality = 1").select("doc_id")).count() == len(ODD)
+    assert decontaminate.decontaminate(df, common.read(spark, "/root/testdata/sf0.01", "benchmark")).count() == len(ODD)
+
+
 # the pipeline and the registered queries
 
 

@@ -96,6 +96,33 @@ def rates(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
     return obs.withColumns(scores)
 
 
+def anchored_runs(x: np.ndarray, tolerance: float, anchor: float | None, length: int) -> tuple[np.ndarray, float | None, int]:
+    """Length of the anchored run at each value (0 at NaN, which breaks it), and the anchor and length to go on with.
+
+    A value more than two tolerances from the one before it is out of any anchor's reach, so a run surely begins there;
+    only stretches without such a break are folded value by value."""
+    out = (~np.isnan(x)).astype(np.int64)
+    if not len(x):
+        return out, anchor, length
+    fresh = np.isnan(x)
+    fresh[1:] |= np.isnan(x[:-1]) | ~(np.abs(np.diff(x)) <= 2.000001 * tolerance + 1e-9)
+    fresh[0] |= anchor is None
+    starts = np.flatnonzero(fresh)
+    if not fresh[0]:
+        starts = np.concatenate([[0], starts])
+    ends = np.append(starts[1:], len(x))
+    folded = (ends - starts > 1) | ~fresh[starts]  # a fresh value alone has run 1 already
+    for i, j in zip(starts[folded].tolist(), ends[folded].tolist(), strict=True):
+        if fresh[i]:
+            anchor, length = None, 0
+        for k, v in enumerate(x[i:j].tolist(), i):
+            anchor, length = (anchor, length + 1) if anchor is not None and abs(v - anchor) <= tolerance else (v, 1)
+            out[k] = length
+    if not folded[-1]:
+        anchor, length = (float(x[-1]), 1) if out[-1] else (None, 0)
+    return out, anchor, length
+
+
 def persistence_runs(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
     """run_<v>: length of the run anchored at the value that began it. Null breaks a run; a hard value leaves it as it
     is. Rows with a hard value or null have run 0."""
@@ -106,25 +133,25 @@ def persistence_runs(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
     tolerances = [cfg.tolerance[v] for v in VARIABLES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
+        state: list[tuple[float | None, int]] = []
         station = None
         for batch in batches:
-            stations = batch.column("station_id").to_pylist()
+            if not batch.num_rows:
+                continue
+            ids = batch.column("station_id").dictionary_encode()
+            code = ids.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), batch.num_rows]
+            values = [batch.column(v).cast(pa.float64()).to_numpy(zero_copy_only=False) for v in VARIABLES]
+            sound = [~batch.column(h).to_numpy(zero_copy_only=False).astype(bool) for h in hards]
             out = np.zeros((len(VARIABLES), batch.num_rows), np.int64)
-            values = [(batch.column(v).to_pylist(), batch.column(h).to_pylist()) for v, h in zip(VARIABLES, hards, strict=True)]
-            for i, s in enumerate(stations):
-                if s != station:
-                    station, state = s, {}
-                for k, (value, bad) in enumerate(values):
-                    x = value[i]
-                    if bad[i]:
-                        continue
-                    if x is None:
-                        state.pop(k, None)
-                        continue
-                    anchor, length = state.get(k, (None, 0))
-                    state[k] = (anchor, length + 1) if anchor is not None and abs(x - anchor) <= tolerances[k] else (x, 1)
-                    out[k, i] = state[k][1]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                name = batch.column("station_id")[a].as_py()
+                if name != station:
+                    station, state = name, [(None, 0)] * len(VARIABLES)
+                for k, (value, good) in enumerate(zip(values, sound, strict=True)):
+                    at = np.flatnonzero(good[a:b]) + a
+                    out[k, at], anchor, length = anchored_runs(value[at], tolerances[k], *state[k])
+                    state[k] = anchor, length
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(o) for o in out)], names=[*(f.name for f in kept), *names])
 
     schema = T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in names)])

@@ -281,3 +281,33 @@ def test_pipeline_without_models(spark, small):
     assert sum(rows.values()) == 1000 and not out.where("has_hard and not is_anomaly").count()
     assert rows["ESTIMATED"] + rows["QUARANTINED"] == out.where("is_anomaly").count()
     assert pipeline.document(out).where("doc like '%\"fusion\"%'").count() == 1000
+
+
+def test_anchored_runs_equal_the_plain_fold():
+    import numpy as np
+
+    from meteolith.operators.rules import anchored_runs
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        x = np.round(np.cumsum(rng.normal(size=int(rng.integers(0, 40))) * rng.choice([0.01, 0.3, 3.0])), 2)
+        x[rng.random(len(x)) < 0.1] = np.nan
+        anchor, length, want = None, 0, []
+        for v in x.tolist():
+            if v != v:
+                anchor, length = None, 0
+            else:
+                anchor, length = (anchor, length + 1) if anchor is not None and abs(v - anchor) <= 0.5 else (v, 1)
+            want.append(length)
+        cut = int(rng.integers(0, len(x) + 1))
+        first, a, n = anchored_runs(x[:cut], 0.5, None, 0)
+        second, a, n = anchored_runs(x[cut:], 0.5, a, n)
+        assert [*first, *second] == want and (a, n) == (anchor, length)
+
+
+def test_thinned_curve_keeps_its_ends(spark):
+    from meteolith.operators import metrics
+
+    rows = spark.createDataFrame([(i / 1000, i % 3 == 0) for i in range(1000)], "score double, truth boolean")
+    got = sorted(tuple(r) for r in metrics.thinned(metrics.cuts(rows).select("score", "tp", "fp"), 20).collect())
+    assert got[0] == (0.0, 334, 666) and got[-1][0] == 0.999 and 18 <= len(got) <= 22

@@ -104,11 +104,27 @@ def _give_back() -> None:
         pass
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow, after which a worker gives its freed memory back."""
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """An object that a worker process keeps from task to task, until it runs a task of another kind."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def _forget_all_but(name: str) -> None:
+    for other in [k for k in _KEPT if k != name]:
+        del _KEPT[other]
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, keeps: str = "") -> DataFrame:
+    """mapInArrow, after which a worker gives its freed memory back; `keeps`: the name of what run() keeps."""
 
     def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
+            _forget_all_but(keeps)
             yield from run(batches)
         finally:
             _give_back()

@@ -30,7 +30,7 @@ SIZE = 2048
 #: Pieces that one packing task gets.
 BLOCK = 16_384
 #: Distinct pre-tokens whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -102,7 +102,7 @@ def cut(ids: bytes, size: int = SIZE) -> list[tuple[int, int, int, int]]:
 
 def tokenise(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = common.kept(f"encoder {path}", lambda: Encoder(path))
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in common.slices(texts, 4_000_000):
@@ -110,7 +110,7 @@ def tokenise(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=PIECES.names)
 
-    return common.map_arrow(docs.select(F.col(id_col).cast("long"), text_col), run, PIECES)
+    return common.map_arrow(docs.select(F.col(id_col).cast("long"), text_col), run, PIECES, keeps=f"encoder {path}")
 
 
 def sum_of_squares(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:

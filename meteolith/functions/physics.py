@@ -13,7 +13,8 @@ MAGNUS_NETWORK, MAGNUS_QC = (17.67, 243.5), (17.625, 243.04)
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """x within bounds; null stays null (greatest and least alone would take the bound)."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def sigmoid(x: Column) -> Column:

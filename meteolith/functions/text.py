@@ -10,6 +10,8 @@ from meteolith.config import DEFAULT, Fusion, Health
 #: Spellings of an absent number, and the accepted timestamp formats in order.
 BLANKS = ("", "na", "nan", "null", "none", "m", "-")
 FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH", "yyyyMMddHHmm", "yyyyMMdd", "yyyy-MM-dd")
+#: An ISO time that names its zone.
+OFFSET = r"(Z|z|[+-][0-9]{2}:?[0-9]{2})$"
 #: What to do about each fault class.
 ACTIONS = {
     "none": "No action required.",
@@ -39,7 +41,9 @@ def parse_timestamp(c: Column) -> Column:
     """UTC timestamp without zone of a text; the first format that fits, else ISO 8601 with an offset, else null."""
     s = F.replace(F.trim(c), F.lit("/"), F.lit("-"))
     plain = [F.try_to_timestamp(s, F.lit(f)) for f in FORMATS]
-    return F.coalesce(*plain, s.try_cast("timestamp")).cast("timestamp_ntz")
+    iso_ = s.try_cast("timestamp")
+    there = F.when(s.rlike(OFFSET), F.to_utc_timestamp(iso_, F.current_timezone())).otherwise(iso_)  # UTC in any session
+    return F.coalesce(*plain, there).cast("timestamp_ntz")
 
 
 def _ladder(x: Column, steps: tuple, top: str) -> Column:

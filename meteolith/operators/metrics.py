@@ -150,4 +150,4 @@ def timelines(df: DataFrame, columns: list[str]) -> DataFrame:
     """Arrays in time order for each station, in chunks of days so that no list grows without bound."""
     rows = F.array_sort(F.collect_list(F.struct("seq", *columns)))
     g = df.groupBy("station_id", F.to_date("timestamp").alias("day")).agg(rows.alias("rows"))
-    return g.select("station_id", "day", *[F.transform("rows", lambda x, c=c: x[c]).alias(c) for c in columns])
+    return g.select("station_id", "day", *[F.col("rows")[c].alias(c) for c in columns])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from meteolith.config import VARIABLES
+from meteolith.functions.text import ACTIONS
 from meteolith.sources.observations import REGISTRY
 
 T, P, H = VARIABLES
@@ -262,3 +263,58 @@ SQL = {
     "station_registry": f"WITH {STATIONS} SELECT * FROM stations",
 }
 SQL["stream_l1_replay"] = SQL["l1_record_score"]
+
+# Formats, stored records, rendered texts
+
+_C = "((temp_c * 1.8 + 32.0) - 32.0) * 5.0 / 9.0"
+_DEW = "((temp_c * 1.8 + 32.0 - 9.0) - 32.0) * 5.0 / 9.0"
+
+
+def at_station(slp: str, metres: float, celsius: str) -> str:
+    return f"{slp} * exp(-9.80665 * {metres}::DOUBLE / (287.058 * (coalesce({celsius}, 15.0) + 273.15)))"
+
+
+def vapour(celsius: str) -> str:
+    return f"(6.112 * exp(17.67::DOUBLE * ({celsius}) / (({celsius}) + 243.5)))"
+
+
+def place(by: int, *values: str) -> str:
+    return "CASE " + " ".join(f"WHEN seq % {by} = {i} THEN {v}" for i, v in enumerate(values[:-1])) + f" ELSE {values[-1]} END"
+
+
+STORED = f"""{OBS}, r AS (SELECT seq, station_id, timestamp, (seq * 37 % 1000) / 1000.0::DOUBLE AS p, row_number() OVER (PARTITION BY station_id, timestamp ORDER BY seq % 3 = 0, seq) AS n FROM obs),
+ audit AS (SELECT seq, station_id, timestamp, round(CASE WHEN seq % 3 = 0 THEN p + 1 ELSE p END, 6) AS probability, p >= 0.5 AS is_anomaly FROM r WHERE n = 1)"""
+_MESSAGE = f"""{OBS}, m AS (SELECT *, seq % 17 = 0 AS nameless, seq % 19 = 0 AS timeless, seq % 7 IN (2, 3, 4) AS worded FROM obs),
+ e AS (SELECT *, CASE WHEN nameless THEN 'station_id is required' WHEN timeless THEN 'timestamp is required' WHEN worded THEN 'values must be finite numbers' END AS error FROM m)"""
+_ACTION = "CASE cls " + " ".join("WHEN '{}' THEN '{}'".format(*a) for a in ACTIONS.items()) + " ELSE 'Review manually.' END"
+_CLASSES = "['" + "', '".join([*ACTIONS, "unheard_of"]) + "']"
+SQL |= {
+    "parsed_texts": f"WITH {OBS} SELECT seq, {place(9, '(seq % 1000) + 0.5', 'NULL', 'NULL', 'NULL', 'NULL', 'NULL', '-9999.0', '1000.0', 'NULL')}::DOUBLE AS number, "
+    + place(11, "date_trunc('second', timestamp)", "date_trunc('minute', timestamp)", "date_trunc('second', timestamp)", "date_trunc('minute', timestamp)", "date_trunc('hour', timestamp)", "date_trunc('minute', timestamp)", "date_trunc('day', timestamp)::TIMESTAMP", "date_trunc('day', timestamp)::TIMESTAMP", "date_trunc('second', timestamp) - INTERVAL 2 HOUR", "date_trunc('second', timestamp)", "NULL")
+    + " AS time FROM obs",
+    "csv_source": f"WITH {OBS} SELECT station_id, date_trunc('second', timestamp) AS timestamp, round({_C}, 6) AS temp_c, round({at_station('pressure_hpa', 250, _C)}, 6) AS pressure_hpa, round(least(greatest(100.0 * {vapour(_DEW)} / {vapour(_C)}, 0), 100), 6) + CASE WHEN temp_c IS NULL THEN NULL ELSE 0 END AS rh_pct FROM obs WHERE seq % 13 <> 0",
+    "ghcnh_source": f"WITH {OBS} SELECT station_id, date_trunc('hour', timestamp) AS timestamp, round(temp_c, 6) AS temp_c, round(pressure_hpa, 6) AS pressure_hpa, round(rh_pct, 6) AS rh_pct FROM obs",
+    "meteostat_source": f"WITH {OBS} SELECT station_id, date_trunc('second', timestamp) AS timestamp, round(temp_c, 6) AS temp_c, round({at_station('pressure_hpa', 655, 'temp_c')}, 6) AS pressure_hpa, round(rh_pct, 6) AS rh_pct FROM obs WHERE station_id = 'S03'",
+    "station_file_source": f"WITH {STATIONS} SELECT station_id, CASE WHEN station_id = 'S02' THEN station_id ELSE name END AS name, lat, lon, CASE WHEN station_id = 'S03' THEN 0 ELSE elevation_m END AS elevation_m, CASE WHEN station_id = 'S04' THEN 'inland' ELSE terrain END AS terrain FROM stations WHERE station_id NOT IN ('S01', 'S06')",
+    "message_source": f"WITH {_MESSAGE} SELECT CASE WHEN nameless THEN ' ' ELSE station_id END AS station_id, CASE WHEN NOT timeless THEN date_trunc('second', timestamp) END AS timestamp, CASE WHEN error IS NULL AND seq % 7 <> 5 THEN temp_c END AS temp_c, CASE WHEN error IS NULL THEN pressure_hpa END AS pressure_hpa, NULL::DOUBLE AS rh_pct, error FROM e",
+    "archive_source": f"WITH {OBS} SELECT station_id, date_trunc('minute', timestamp) AS timestamp, temp_c, pressure_hpa, rh_pct FROM obs WHERE station_id = 'S05'",
+    "audit_range": f"WITH {STORED} SELECT seq, station_id, timestamp, probability FROM audit WHERE station_id = 'S03' AND timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'",
+    "audit_worklist": f"WITH {STORED} SELECT seq, station_id, timestamp, probability FROM audit WHERE station_id = 'S05' AND is_anomaly",
+    "audit_counts": f"WITH {STORED} SELECT station_id, count(*) AS n FROM audit GROUP BY 1",
+    "scaled_values": f"WITH {OBS}, m AS (SELECT station_id, {each('quantile_cont({v}, 0.5) AS med_{v}')} FROM obs GROUP BY 1), s AS (SELECT station_id, {each('any_value(med_{v}) AS med_{v}, greatest(1.4826 * quantile_cont(abs({v} - med_{v}), 0.5), 1e-6) AS scale_{v}')} FROM obs JOIN m USING (station_id) GROUP BY 1) "
+    f"SELECT seq, {each('round(({v} - med_{v}) / scale_{v}, 6) AS z_{v}, round(({v} - med_{v}) / scale_{v} * scale_{v} + med_{v}, 6) AS back_{v}')} FROM obs JOIN s USING (station_id)",
+    "station_distances": f"WITH {STATIONS} SELECT a.station_id AS one, b.station_id AS other, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))), 6) AS km FROM stations a JOIN stations b ON a.station_id < b.station_id",
+    "flag_details": f"WITH {L1} "
+    + " UNION ALL ".join(
+        [f"SELECT seq, 'corrupt_encoding' AS name, '{v}' AS variable, 1.0::DOUBLE AS score, '{v}=' || {v}::VARCHAR || ' matches a sentinel' AS detail FROM rates WHERE corrupt_{v}" for v in VARIABLES]
+        + [f"SELECT seq, 'range', '{v}', 1.0::DOUBLE, '{v}=' || {v}::VARCHAR || ' outside its range' FROM rates WHERE range_{v}" for v in VARIABLES]
+        + [f"SELECT seq, 'missing', '{v}', round(missing_score_{v}, 6), '{v} missing for ' || missing_run_{v}::VARCHAR || ' readings' FROM rates WHERE {v} IS NULL" for v in VARIABLES]
+        + [f"SELECT seq, 'rate_of_change', '{v}', round(rate_score_{v}, 6), printf('{v} changed by %.2f', delta_{v}) FROM rates WHERE rate_score_{v} > 0" for v in VARIABLES]
+        + ["SELECT seq, 'duplicate_timestamp', 'record', 0.7::DOUBLE, 'timestamp repeats' FROM rates WHERE gap_us = 0", "SELECT seq, 'timestamp_reversal', 'record', 0.8::DOUBLE, printf('timestamp is %.1f min behind', -gap_us / 6e7::DOUBLE) FROM rates WHERE gap_us < 0"]
+    ),
+    "rendered_verdicts": f"""WITH {FUSED}, x AS (SELECT *, (seq * 7919 % 101) / 100.0::DOUBLE AS p, (seq % 101) / 100.0::DOUBLE AS conf, {_CLASSES}[(seq % {len(ACTIONS) + 1})::INT + 1] AS cls FROM fused)
+     SELECT seq, CASE WHEN cls = 'none' THEN 'NONE' WHEN p >= 0.9 THEN 'CRITICAL' WHEN p >= 0.7 THEN 'HIGH' WHEN p >= 0.5 THEN 'MODERATE' ELSE 'LOW' END AS severity, {_ACTION} AS action,
+      band || printf(' p=%.2f', p) || CASE WHEN cls <> 'none' THEN ' | ' || cls || ' (' || round(conf * 100)::INT::VARCHAR || '%)' || CASE WHEN seq % 2 = 0 THEN ' via rate' ELSE '' END ELSE '' END || CASE WHEN damped THEN ' [weather-damped]' ELSE '' END || coalesce(' @ ' || dominant_variable, '') AS explanation,
+      strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS time FROM x""",
+    "station_timelines": f"WITH {FUSED} SELECT station_id, timestamp::DATE::VARCHAR AS day, string_agg(band, ',' ORDER BY seq) AS bands, count(*) FILTER (is_anomaly) AS anomalies FROM fused GROUP BY 1, 2",
+}

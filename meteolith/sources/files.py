@@ -7,7 +7,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meteolith.config import VARIABLES
@@ -169,7 +169,10 @@ def archive_rows(raw: DataFrame, station_id: str, column: str = "value") -> Data
 
 
 class AuditStore:
-    """Append-only table of records by (station_id, timestamp), partitioned by day; the first write of a key wins."""
+    """Append-only table of records by (station_id, timestamp), partitioned by day; the first write of a key wins.
+
+    A write leaves keys alone that are stored already. Two writers at once may both store a key: reads then take the
+    row of the file written first (ties: smaller file name), so all readers get one and the same record of a key."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -180,6 +183,16 @@ class AuditStore:
         there = p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
         return self.spark.read.parquet(self.path) if there else None
 
+    def records(self, *which: Column) -> DataFrame:
+        """One row for each key of the rows that fit `which` (conditions on station, time or day only)."""
+        df = self._table()
+        for condition in which:
+            df = df.where(condition)
+        names = df.columns
+        w = Window.partitionBy("station_id", "timestamp", "day").orderBy("__at", "__file", "seq")
+        df = df.select("*", F.col("_metadata.file_modification_time").alias("__at"), F.col("_metadata.file_name").alias("__file"))
+        return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*names)
+
     def append(self, records: DataFrame) -> None:
         """Idempotent: keys that are stored already are left alone, so a repeated batch changes nothing."""
         w = Window.partitionBy("station_id", "timestamp").orderBy("seq")
@@ -190,25 +203,24 @@ class AuditStore:
 
     def station(self, station_id: str, start=None, end=None, limit: int | None = None, newest: bool = False) -> DataFrame:
         """Inclusive bounds; partitions of other days are not read."""
-        df = self._table().where(F.col("station_id") == station_id)
+        which = [F.col("station_id") == station_id]
         if start is not None:
-            df = df.where((F.col("timestamp") >= F.lit(start).cast("timestamp_ntz")) & (F.col("day") >= F.to_date(F.lit(start).cast("timestamp_ntz"))))
+            which.append((F.col("timestamp") >= F.lit(start).cast("timestamp_ntz")) & (F.col("day") >= F.to_date(F.lit(start).cast("timestamp_ntz"))))
         if end is not None:
-            df = df.where((F.col("timestamp") <= F.lit(end).cast("timestamp_ntz")) & (F.col("day") <= F.to_date(F.lit(end).cast("timestamp_ntz"))))
-        df = df.orderBy(F.desc("timestamp") if newest else "timestamp")
+            which.append((F.col("timestamp") <= F.lit(end).cast("timestamp_ntz")) & (F.col("day") <= F.to_date(F.lit(end).cast("timestamp_ntz"))))
+        df = self.records(*which).orderBy(F.desc("timestamp") if newest else "timestamp")
         return df.limit(limit) if limit else df
 
     def anomalies(self, station_id: str | None = None, limit: int | None = None) -> DataFrame:
-        df = self._table().where("is_anomaly")
-        df = df.where(F.col("station_id") == station_id) if station_id else df
-        df = df.orderBy(F.desc("timestamp"))
+        """Newest first. A key's first record decides, so the verdict is asked of it alone."""
+        which = [F.col("station_id") == station_id] if station_id else []
+        df = self.records(*which).where("is_anomaly").orderBy(F.desc("timestamp"))
         return df.limit(limit) if limit else df
 
     def count(self, station_id: str | None = None) -> int:
-        df = self._table()
-        if df is None:
+        if self._table() is None:
             return 0
-        return (df.where(F.col("station_id") == station_id) if station_id else df).count()
+        return self.records(*([F.col("station_id") == station_id] if station_id else [])).count()
 
 
 def bounded_limit(text: str | None, default: int = 200, most: int = 5000) -> int:

@@ -3,7 +3,7 @@
 import pytest
 from conftest import comparable
 
-from meteolith.plans import oracles, queries
+from meteolith.plans import exchange, oracles, queries  # noqa: F401 (registers its queries)
 
 
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
@@ -134,3 +134,29 @@ def test_entry_points(spark):
     assert entry.entry(spark).count() == 8
     assert set(oracles.SQL) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_two_writers_of_a_key_leave_one_record(spark, small, tmp_path):
+    """A key stored twice, as by two writers at once, reads as the record of the file written first."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from meteolith.sources import files
+
+    r = queries.obs(spark, small).where("station_id = 'S03'").select("seq", "station_id", "timestamp", F.lit(False).alias("is_anomaly"))
+    store = files.AuditStore(spark, str(tmp_path / "audit"))
+    store.append(r)
+    time.sleep(1.1)
+    late = r.withColumn("is_anomaly", F.lit(True)).withColumn("day", F.to_date("timestamp"))
+    late.write.mode("append").partitionBy("day").parquet(store.path)
+    assert store.count() == r.count() and store.anomalies().count() == 0 and store.station("S03").count() == r.count()
+
+
+def test_absent_humidity_stays_absent(spark):
+    from pyspark.sql import functions as F
+
+    from meteolith.functions import physics
+
+    x = spark.sql("select 10.0D as t, cast(null as double) as n")
+    assert x.select(physics.rh_from_dewpoint(F.col("t"), F.col("n")), physics.dewpoint(F.col("t"), F.col("n")), physics.clamp(F.col("n"))).first() == (None, None, None)

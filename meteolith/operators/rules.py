@@ -1,7 +1,8 @@
 """Layer 1: deterministic checks of single stations, as windows in arrival order.
 
-Everything but the anchored persistence run is a window expression over (station, seq). The persistence run is a fold
-over sorted partitions that carries three numbers for each variable, so its memory does not grow with a station.
+Everything but the anchored persistence run is a running value over blocks of a station's series. The persistence run is
+a fold over sorted partitions that carries two numbers for each variable. A series is cut for it where the runs of all
+variables surely break, once a block at most; so one task holds a block's readings, and more only as long as runs go on.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from meteolith.config import DEFAULT, VARIABLES, Rules
 from meteolith.functions.physics import micros
+from meteolith.operators import series
 
 
 def ordered() -> WindowSpec:
@@ -57,43 +59,77 @@ def sentinel_range(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
     return obs.withColumns(cols)
 
 
+def arrival(obs: DataFrame, cfg: Rules = DEFAULT.rules, bits: int = series.BITS) -> DataFrame:
+    """What layer 1 knows of a station's earlier readings, in one pass: __clock (latest timestamp, microseconds),
+    __last_<v> (last sound value), missing_run_<v> (nulls in a row up to here), __home (the block since which no row
+    was a cut of the persistence runs)."""
+    before = series.within(-1)
+    cuts = F.lit(True)
+    obs = series.blocks(obs, bits)
+    for v in VARIABLES:
+        # Unknown for a block's first sound value, which is taken as no cut.
+        known = F.last(F.when(~hard(v, cfg), F.struct(F.col(v).alias("x"))), ignorenulls=True).over(before)
+        obs = obs.withColumn(f"__known_{v}", known)
+        off = F.abs(F.col(v) - F.col(f"__known_{v}.x")) > reach(cfg.tolerance[v])
+        broken = F.col(v).isNull() | (F.col(f"__known_{v}").isNotNull() & F.coalesce(off, F.lit(True)))
+        cuts = cuts & ~hard(v, cfg) & broken
+    obs = obs.withColumn("__cut", F.when(cuts, F.col("__block")))
+    sound = {f"__last_{v}": F.when(~hard(v, cfg), F.col(v)) for v in VARIABLES}
+    obs = series.running(obs, {"__clock": micros(F.col("timestamp"))}, sound | {"__home": F.col("__cut")}, {f"missing_run_{v}": F.col(v).isNull() for v in VARIABLES})
+    return obs.withColumn("__home", F.coalesce("__cut", "__home")).drop("__block", "__cut", *[f"__known_{v}" for v in VARIABLES])
+
+
+def with_arrival(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
+    return obs if "__clock" in obs.columns else arrival(obs, cfg)
+
+
+def without_arrival(obs: DataFrame) -> DataFrame:
+    return obs.drop("__clock", "__home", *[f"__last_{v}" for v in VARIABLES])
+
+
 def missing_runs(obs: DataFrame) -> DataFrame:
     """missing_run_<v>: nulls in a row up to here; missing_score_<v>."""
-    islands = {f"__i_{v}": F.sum(F.col(v).isNotNull().cast("long")).over(upto()) for v in VARIABLES}
-    obs = obs.withColumns(islands)
-    runs = {}
-    for v in VARIABLES:
-        within = Window.partitionBy("station_id", f"__i_{v}").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        runs[f"missing_run_{v}"] = F.sum(F.col(v).isNull().cast("long")).over(within)
-    obs = obs.withColumns(runs).withColumns({f"missing_run_{v}": F.when(F.col(v).isNull(), F.col(f"missing_run_{v}")).otherwise(0).cast("long") for v in VARIABLES})
+    kept = "__clock" in obs.columns
+    obs = with_arrival(obs)
     scores = {f"missing_score_{v}": F.when(F.col(v).isNull(), F.least(F.lit(1.0), 0.35 + 0.065 * F.col(f"missing_run_{v}"))).otherwise(0.0) for v in VARIABLES}
-    return obs.withColumns(scores).drop(*islands)
+    obs = obs.withColumns(scores)
+    return obs if kept else without_arrival(obs)
 
 
 def clock(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
     """gap_us (since the latest earlier timestamp), duplicate, reversal, gap scores; the clock never moves back."""
-    obs = obs.withColumn("__us", micros(F.col("timestamp")))
-    obs = obs.withColumn("gap_us", F.col("__us") - F.max("__us").over(earlier())).drop("__us")
+    kept = "__clock" in obs.columns
+    obs = with_arrival(obs, cfg)
+    obs = obs.withColumn("gap_us", micros(F.col("timestamp")) - F.col("__clock"))
     gap = F.lit(0.0)
     if cfg.interval_minutes:
         step = cfg.interval_minutes * 60e6
         missed = F.bround(F.col("gap_us") / step) - 1
         gap = F.when(F.col("gap_us") > 1.5 * step, F.least(F.lit(1.0), 0.3 + 0.07 * missed)).otherwise(0.0)
+    obs = obs if kept else without_arrival(obs).drop(*[f"missing_run_{v}" for v in VARIABLES])
     return obs.withColumns({"duplicate_score": F.when(F.col("gap_us") == 0, 0.7).otherwise(0.0), "reversal_score": F.when(F.col("gap_us") < 0, 0.8).otherwise(0.0), "gap_score": F.coalesce(gap, F.lit(0.0))})
 
 
 def rates(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
     """delta_<v> against the last sound value in arrival order, rate_score_<v>. Needs clock() and hard flags."""
+    kept = "__clock" in obs.columns
+    obs = with_arrival(obs, cfg)
     hours = F.col("gap_us") / 3.6e9
     usable = (F.col("gap_us") > 0) & (hours <= cfg.max_gap_h)
-    deltas = {f"delta_{v}": F.when(usable & ~F.col(f"hard_{v}"), F.abs(F.col(v) - F.last(F.when(~F.col(f"hard_{v}"), F.col(v)), ignorenulls=True).over(earlier()))) for v in VARIABLES}
+    deltas = {f"delta_{v}": F.when(usable & ~F.col(f"hard_{v}"), F.abs(F.col(v) - F.col(f"__last_{v}"))) for v in VARIABLES}
     obs = obs.withColumns(deltas)
     scores = {}
     for v in VARIABLES:
         allowed = cfg.rate[v] * F.greatest(hours, F.lit(cfg.min_gap_h))
         d = F.col(f"delta_{v}")
         scores[f"rate_score_{v}"] = F.coalesce(F.when(d > allowed, F.least(F.lit(1.0), 0.55 + 0.15 * (d / allowed - 1))), F.lit(0.0))
-    return obs.withColumns(scores)
+    obs = obs.withColumns(scores)
+    return obs if kept else without_arrival(obs).drop(*[f"missing_run_{v}" for v in VARIABLES])
+
+
+def reach(tolerance: float) -> float:
+    """A value farther than this from the one before it is out of any anchor's reach."""
+    return 2.000001 * tolerance + 1e-9
 
 
 def anchored_runs(x: np.ndarray, tolerance: float, anchor: float | None, length: int) -> tuple[np.ndarray, float | None, int]:
@@ -105,7 +141,7 @@ def anchored_runs(x: np.ndarray, tolerance: float, anchor: float | None, length:
     if not len(x):
         return out, anchor, length
     fresh = np.isnan(x)
-    fresh[1:] |= np.isnan(x[:-1]) | ~(np.abs(np.diff(x)) <= 2.000001 * tolerance + 1e-9)
+    fresh[1:] |= np.isnan(x[:-1]) | ~(np.abs(np.diff(x)) <= reach(tolerance))
     fresh[0] |= anchor is None
     starts = np.flatnonzero(fresh)
     if not fresh[0]:
@@ -128,8 +164,11 @@ def persistence_runs(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
     is. Rows with a hard value or null have run 0."""
     names = [f"run_{v}" for v in VARIABLES]
     hards = [f"__hard_{v}" for v in VARIABLES]
-    obs = obs.drop(*names).withColumns(dict(zip(hards, [hard(v, cfg) for v in VARIABLES], strict=True)))
-    kept = [f for f in obs.schema.fields if f.name not in hards]
+    own = "__clock" not in obs.columns
+    obs = with_arrival(obs, cfg).drop(*names).withColumns(dict(zip(hards, [hard(v, cfg) for v in VARIABLES], strict=True)))
+    if own:
+        obs = obs.drop("__clock", *[f"{p}_{v}" for v in VARIABLES for p in ("__last", "missing_run")])
+    kept = [f for f in obs.schema.fields if f.name not in (*hards, "__home")]
     tolerances = [cfg.tolerance[v] for v in VARIABLES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +179,13 @@ def persistence_runs(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
                 continue
             ids = batch.column("station_id").dictionary_encode()
             code = ids.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), batch.num_rows]
+            home = batch.column("__home").fill_null(-1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(code) != 0) | (np.diff(home) != 0)) + 1).tolist(), batch.num_rows]
             values = [batch.column(v).cast(pa.float64()).to_numpy(zero_copy_only=False) for v in VARIABLES]
             sound = [~batch.column(h).to_numpy(zero_copy_only=False).astype(bool) for h in hards]
             out = np.zeros((len(VARIABLES), batch.num_rows), np.int64)
             for a, b in zip(cuts, cuts[1:], strict=False):
-                name = batch.column("station_id")[a].as_py()
+                name = batch.column("station_id")[a].as_py(), batch.column("__home")[a].as_py()
                 if name != station:
                     station, state = name, [(None, 0)] * len(VARIABLES)
                 for k, (value, good) in enumerate(zip(values, sound, strict=True)):
@@ -155,7 +195,7 @@ def persistence_runs(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(o) for o in out)], names=[*(f.name for f in kept), *names])
 
     schema = T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in names)])
-    return obs.repartition("station_id").sortWithinPartitions("station_id", "seq").mapInArrow(run, schema)
+    return obs.repartition("station_id", "__home").sortWithinPartitions("station_id", "__home", "seq").mapInArrow(run, schema)
 
 
 def persistence(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
@@ -205,7 +245,8 @@ def flags(obs: DataFrame) -> DataFrame:
     return obs.withColumn("flags", F.filter(F.array(*out), lambda x: x.isNotNull()))
 
 
-def layer(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
+def layer(obs: DataFrame, cfg: Rules = DEFAULT.rules, bits: int = series.BITS) -> DataFrame:
     """All of layer 1 beside the untouched readings."""
-    obs = persistence(persistence_runs(obs, cfg), cfg)
-    return scores(rates(clock(missing_runs(sentinel_range(obs, cfg)), cfg), cfg))
+    obs = rates(clock(missing_runs(sentinel_range(arrival(obs, cfg, bits), cfg)), cfg), cfg)
+    obs = obs.drop(*[f"__last_{v}" for v in VARIABLES])
+    return scores(persistence(persistence_runs(obs, cfg), cfg)).drop("__clock")

@@ -160,3 +160,48 @@ def test_absent_humidity_stays_absent(spark):
 
     x = spark.sql("select 10.0D as t, cast(null as double) as n")
     assert x.select(physics.rh_from_dewpoint(F.col("t"), F.col("n")), physics.dewpoint(F.col("t"), F.col("n")), physics.clamp(F.col("n"))).first() == (None, None, None)
+
+
+def test_series_cut_into_blocks_give_the_whole_series(spark, small):
+    """Blocks of eight arrival numbers, and of one, equal one block for all: scores, runs and what rows hand on."""
+    import dataclasses
+
+    from pyspark.sql import functions as F
+
+    from meteolith.config import VARIABLES
+    from meteolith.operators import rules
+
+    o = queries.obs(spark, small)
+    # Long runs of nulls and of equal values, over many blocks, in one busy station.
+    stuck = F.expr("seq % 400 between 100 and 260")
+    o = o.withColumn("station_id", F.when(F.col("seq") % 3 == 0, F.lit("S00")).otherwise(F.col("station_id")))
+    o = o.withColumns({"temp_c": F.when(stuck, 20.0).otherwise(F.col("temp_c")), "pressure_hpa": F.when(F.expr("seq % 500 > 350"), None).otherwise(F.round(F.col("pressure_hpa"))), "rh_pct": F.when(stuck, F.lit(50.0) + F.expr("seq % 3")).otherwise(F.col("rh_pct"))})
+    cfg = dataclasses.replace(queries.LOOSE, interval_minutes=30)
+    names = ["seq", "gap_us", "has_hard", "rule_score", *[f"{p}_{v}" for p in ("missing_run", "delta", "run", "rule") for v in VARIABLES]]
+    whole, *cut = [comparable(rules.layer(o, cfg, bits).select(*names).toPandas()) for bits in (40, 3, 0)]
+    assert whole == cut[0] == cut[1]
+    longest = rules.layer(o, cfg, 3).agg(*[F.max(c) for c in ("run_temp_c", "missing_run_pressure_hpa", "run_rh_pct")]).first()
+    assert min(longest) >= 10, longest
+    homes = rules.arrival(o, cfg, 3).groupBy("station_id", "__home").count().agg(F.max("count")).first()[0]
+    assert homes < o.count() / 8, homes
+
+
+def test_cut_series_equal_the_stream(spark, small):
+    """The state machine of the stream, reading by reading, against blocks of four arrival numbers."""
+    import math
+
+    from meteolith.config import VARIABLES
+    from meteolith.functions.physics import micros
+    from meteolith.operators import rules
+    from meteolith.streaming import stateful
+
+    o = queries.obs(spark, small)
+    got = rules.layer(o, queries.LOOSE, 2).select("seq", "rule_score", "persistence_score").toPandas().set_index("seq")
+    states, n = {}, 0
+    for r in o.withColumn("us", micros(o["timestamp"])).orderBy("seq").toPandas().itertuples():
+        station = states.setdefault(r.station_id, stateful.Station(None, queries.LOOSE))
+        want = station.step(int(r.us), {v: None if math.isnan(getattr(r, v)) else getattr(r, v) for v in VARIABLES})
+        assert got.loc[r.seq, "rule_score"] == pytest.approx(want["rule_score"]), r
+        assert got.loc[r.seq, "persistence_score"] == pytest.approx(want["persistence_score"]), r
+        n += want["persistence_score"] > 0
+    assert n > 0

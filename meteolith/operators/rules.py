@@ -63,20 +63,19 @@ def arrival(obs: DataFrame, cfg: Rules = DEFAULT.rules, bits: int = series.BITS)
     """What layer 1 knows of a station's earlier readings, in one pass: __clock (latest timestamp, microseconds),
     __last_<v> (last sound value), missing_run_<v> (nulls in a row up to here), __home (the block since which no row
     was a cut of the persistence runs)."""
-    before = series.within(-1)
+    obs = series.blocks(obs, bits).withColumns({f"__bad_{v}": hard(v, cfg) for v in VARIABLES})
+    # Unknown for a block's first sound value, which is taken as no cut.
+    known = {f"__known_{v}": F.last(F.when(~F.col(f"__bad_{v}"), F.struct(F.col(v).alias("x"))), ignorenulls=True).over(series.within(-1)) for v in VARIABLES}
+    obs = obs.withColumns(known | {"__place": series.place()})
     cuts = F.lit(True)
-    obs = series.blocks(obs, bits)
     for v in VARIABLES:
-        # Unknown for a block's first sound value, which is taken as no cut.
-        known = F.last(F.when(~hard(v, cfg), F.struct(F.col(v).alias("x"))), ignorenulls=True).over(before)
-        obs = obs.withColumn(f"__known_{v}", known)
         off = F.abs(F.col(v) - F.col(f"__known_{v}.x")) > reach(cfg.tolerance[v])
         broken = F.col(v).isNull() | (F.col(f"__known_{v}").isNotNull() & F.coalesce(off, F.lit(True)))
-        cuts = cuts & ~hard(v, cfg) & broken
-    obs = obs.withColumn("__cut", F.when(cuts, F.col("__block")))
-    sound = {f"__last_{v}": F.when(~hard(v, cfg), F.col(v)) for v in VARIABLES}
-    obs = series.running(obs, {"__clock": micros(F.col("timestamp"))}, sound | {"__home": F.col("__cut")}, {f"missing_run_{v}": F.col(v).isNull() for v in VARIABLES})
-    return obs.withColumn("__home", F.coalesce("__cut", "__home")).drop("__block", "__cut", *[f"__known_{v}" for v in VARIABLES])
+        cuts = cuts & ~F.col(f"__bad_{v}") & broken
+    obs = obs.withColumns({"__cut": F.when(cuts, F.col("__block")), "__us": micros(F.col("timestamp"))}).drop(*known)
+    sound = {f"__last_{v}": F.when(~F.col(f"__bad_{v}"), F.col(v)) for v in VARIABLES}
+    obs = series.running(obs, {"__clock": F.col("__us")}, sound | {"__home": F.col("__cut")}, {f"missing_run_{v}": F.col(v).isNull() for v in VARIABLES})
+    return obs.withColumn("__home", F.coalesce("__cut", "__home")).drop("__block", "__cut", "__us", *[f"__bad_{v}" for v in VARIABLES])
 
 
 def with_arrival(obs: DataFrame, cfg: Rules = DEFAULT.rules) -> DataFrame:
@@ -247,6 +246,6 @@ def flags(obs: DataFrame) -> DataFrame:
 
 def layer(obs: DataFrame, cfg: Rules = DEFAULT.rules, bits: int = series.BITS) -> DataFrame:
     """All of layer 1 beside the untouched readings."""
-    obs = rates(clock(missing_runs(sentinel_range(arrival(obs, cfg, bits), cfg)), cfg), cfg)
-    obs = obs.drop(*[f"__last_{v}" for v in VARIABLES])
-    return scores(persistence(persistence_runs(obs, cfg), cfg)).drop("__clock")
+    obs = persistence_runs(arrival(obs, cfg, bits), cfg)  # only what later steps cannot work out anew goes through Arrow
+    obs = rates(clock(missing_runs(sentinel_range(obs, cfg)), cfg), cfg)
+    return scores(persistence(without_arrival(obs), cfg))

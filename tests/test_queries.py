@@ -205,3 +205,25 @@ def test_cut_series_equal_the_stream(spark, small):
         assert got.loc[r.seq, "persistence_score"] == pytest.approx(want["persistence_score"]), r
         n += want["persistence_score"] > 0
     assert n > 0
+
+
+def test_reset_row_clears_its_station_alone(spark, small, tmp_path):
+    """After a row without time and values, its station starts anew; other stations go on."""
+    from pyspark.sql import functions as F
+
+    from meteolith.operators import rules
+    from meteolith.streaming import stateful
+
+    o = queries.obs(spark, small).drop("event_type").where("station_id in ('S01', 'S02')")
+    o = o.withColumn("temp_c", F.when(F.col("station_id") != "S01", F.col("temp_c")))  # a run of nulls that the reset ends
+    half = o.agg(F.percentile("seq", 0.5).cast("long")).first()[0]
+    reset = spark.createDataFrame([(half, "S01", None, None, None, None)], o.schema)
+    folder = str(tmp_path / "in")
+    o.where(F.col("seq") != half).unionByName(reset).coalesce(1).write.parquet(folder)
+    got = stateful.replay(stateful.score_stream(spark.readStream.schema(o.schema).parquet(folder)), str(tmp_path / "run"))
+    parts = o.where(F.col("seq") != half).withColumn("station_id", F.when((F.col("station_id") == "S01") & (F.col("seq") > half), "S01 anew").otherwise(F.col("station_id")))
+    want = rules.layer(parts)
+    columns = ["seq", "rule_score", "has_hard"]
+    assert comparable(got.select(columns).toPandas()) == comparable(want.select(columns).toPandas())
+    whole = rules.layer(o.where(F.col("seq") != half)).select(columns)
+    assert comparable(whole.toPandas()) != comparable(want.select(columns).toPandas())  # the reset shows

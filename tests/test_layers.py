@@ -150,6 +150,34 @@ def test_late_neighbours_and_single_ones_do_not_count(spark):
     assert edge[0]["spatial_available"]
 
 
+def test_dense_neighbours_are_searched_not_joined(spark, monkeypatch):
+    """Readings by the second and with equal times: one nearest reading of each neighbour, without a row for each pair of
+    readings within the skew."""
+    network = spark.createDataFrame(STATIONS, observations.STATIONS)
+    rng = np.random.default_rng(3)
+    ids = ["TGT", "N1", "N2", "HILL", "NONE", None]
+    rows = [(i, ids[k], None if rng.random() < 0.02 else T0 + dt.timedelta(seconds=int(x)), *(None if rng.random() < 0.1 else float(v) for v in rng.normal(20, 2, 3))) for i, (k, x) in enumerate(zip(rng.integers(0, len(ids), 500), rng.integers(-3600, 9000, 500), strict=True))]
+    o = spark.createDataFrame(rows, observations.SCHEMA)
+    top = spatial.heaviest(o, network)
+    assert "Join" not in top._jdf.queryExecution().executedPlan().toString()
+    pairs = {(r["target"], r["neighbour"]): r["weight"] for r in spatial.station_pairs(network).collect()}
+    expected = {}
+    for seq, station, at, *_ in rows:
+        best = []
+        for (a, b), weight in pairs.items():
+            near = sorted((abs(at - t), n) for n, s, t, *_ in rows if s == b and t is not None and abs(at - t) <= dt.timedelta(minutes=20)) if a == station and at is not None else []
+            best += [(-weight, b, near[0][1])] if near else []
+        if best:
+            expected[seq] = [x[1:] for x in sorted(best)[:6]]
+    values = {r[0]: r[3:] for r in rows}
+    for pairs_at_once, lookups, stretch in ((spatial.PAIRS, spatial.LOOKUPS, spatial.STRETCH), (1, 5, 50)):
+        for name, x in (("PAIRS", pairs_at_once), ("LOOKUPS", lookups), ("STRETCH", stretch)):
+            monkeypatch.setattr(spatial, name, x)
+        got = spatial.heaviest(o, network).collect()
+        assert len(got) == len(expected) and {r["target_seq"]: [(y["neighbour"], y["x"]["n_seq"]) for y in r["top"]] for r in got} == expected
+        assert all(tuple(r[f"t_{v}"] for v in VARIABLES) == values[r["target_seq"]] and all(tuple(y["x"][f"n_{v}"] for v in VARIABLES) == values[y["x"]["n_seq"]] for y in r["top"]) for r in got)
+
+
 def evidence(spark, **x):
     base = {"rule_score": 0.0, "persistence_score": 0.0, "has_hard": False, "recon_available": True, "recon_p": 0.0, "multi_available": True, "multi_p": 0.0, "spatial_available": True, "spatial_p": 0.0, **{f"rule_{v}": 0.0 for v in VARIABLES}, **{f"recon_error_{v}": 0.0 for v in VARIABLES}} | x
     return fusion.fuse(spark.createDataFrame([base])).first()

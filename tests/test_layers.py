@@ -178,6 +178,21 @@ def test_dense_neighbours_are_searched_not_joined(spark, monkeypatch):
         assert all(tuple(r[f"t_{v}"] for v in VARIABLES) == values[r["target_seq"]] and all(tuple(y["x"][f"n_{v}"] for v in VARIABLES) == values[y["x"]["n_seq"]] for y in r["top"]) for r in got)
 
 
+def test_copies_of_readings_keep_their_neighbours(spark, small):
+    """Copies of all readings at the same times with later seqs: each copy's neighbours are those of the first, found with
+    two passes over the readings and no join."""
+    o = observations.from_events(spark, small)
+    n = o.count()
+    copies = o.join(F.broadcast(spark.range(20).withColumnRenamed("id", "copy"))).withColumn("seq", F.col("seq") + F.col("copy") * n).drop("copy")
+    copies = files.written(copies)
+    got = spatial.neighbours(copies, observations.stations(spark))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    keys = ["neighbour", "rank", "n_seq", "skew_us"]
+    once = spatial.neighbours(o, observations.stations(spark)).select("target_seq", *keys)
+    each = got.groupBy((F.col("target_seq") % n).alias("target_seq"), *keys).count()
+    assert each.where("count <> 20").count() == 0 and each.select("target_seq", *keys).exceptAll(once).count() == 0 and each.count() == once.count()
+
+
 def evidence(spark, **x):
     base = {"rule_score": 0.0, "persistence_score": 0.0, "has_hard": False, "recon_available": True, "recon_p": 0.0, "multi_available": True, "multi_p": 0.0, "spatial_available": True, "spatial_p": 0.0, **{f"rule_{v}": 0.0 for v in VARIABLES}, **{f"recon_error_{v}": 0.0 for v in VARIABLES}} | x
     return fusion.fuse(spark.createDataFrame([base])).first()

@@ -207,6 +207,16 @@ def test_fusion(spark):
     assert evidence(spark)["dominant_variable"] is None and evidence(spark, rule_rh_pct=0.5, rule_temp_c=0.5)["dominant_variable"] == "temp_c"
 
 
+def test_events_of_late_readings_and_beyond_ten_thousand(spark):
+    """A time that goes back makes a negative duration, in whole seconds rounded down; every event has an id of its own."""
+    points = spark.range(60_000).select(
+        F.lit("A").alias("station_id"), F.col("id").alias("seq"), (F.lit(T0).cast("timestamp_ntz") - F.expr("make_dt_interval(0, 0, 0, id * 0.5)")).alias("timestamp"), (F.col("id") % 6 < 2).alias("is_anomaly"),
+        F.lit("spike").alias("fault_class"), F.lit(0.5).alias("confidence"), F.lit(0.9).alias("probability"), F.array(F.lit("temp_c")).alias("variables"),
+    )
+    got = response.events(points).agg(F.count(F.lit(1)), F.countDistinct("event_id"), F.max("duration_minutes"), F.min("duration_minutes"), F.max(F.length("event_id"))).first()
+    assert tuple(got) == (10_000, 10_000, -1 / 60, -1 / 60, len("A-E10000"))
+
+
 def test_blend(spark):
     f = lambda run=1, c=0.8: spark.range(1).select(*[x.alias(n) for n, x in zip("vcm", response.blend({"temporal": F.lit(30.0), "spatial": F.lit(31.0), "reconstruction": F.lit(29.0)}, {"temporal": F.lit(c), "spatial": F.lit(0.6), "reconstruction": F.lit(0.4)}, F.lit(run)), strict=True)]).first()
     r = f()

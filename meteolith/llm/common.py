@@ -155,15 +155,19 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
 
 def slices(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` characters (a longer text alone)."""
+    return ranges([len(t) if t else 0 for t in texts], most)
+
+
+def ranges(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of places whose sizes add up to about `most` (a larger one alone)."""
     start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
+    for i, n in enumerate(sizes):
         if size and size + n > most:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def doc_bucket(doc_id: Column | str, n: int) -> Column:

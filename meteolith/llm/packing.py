@@ -13,6 +13,7 @@ are pieces of their own; an empty table gives no pieces. Input columns other tha
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +31,10 @@ from . import common
 SIZE = 2048
 #: Pieces that one packing task gets.
 BLOCK = 16_384
-#: Distinct pre-tokens whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Distinct pre-tokens whose ids a worker remembers; beyond it the later half is forgotten (frequent ones come early).
+REMEMBERED = 200_000
+#: Bytes of text that a worker takes apart at once.
+STRETCH = 500_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -87,7 +91,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.known = dict(itertools.islice(self.known.items(), REMEMBERED // 2))
         plain = [_PRE.findall(t.lower()) if t and _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
         self.learn([p for p in set().union(*filter(None, plain)) if p not in self.known])
         get = self.known.__getitem__
@@ -104,9 +108,10 @@ def tokenise(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = common.kept(f"encoder {path}", lambda: Encoder(path))
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in common.slices(texts, 4_000_000):
-                rows = [(i, *x) for i, e in zip(ids[a:b], enc.encode(texts[a:b]), strict=True) for x in cut(e, size)]
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for a, b in common.ranges(sizes, STRETCH):
+                ids, texts = (c.slice(a, b - a).to_pylist() for c in batch.columns)
+                rows = [(i, *x) for i, e in zip(ids, enc.encode(texts), strict=True) for x in cut(e, size)]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=PIECES.names)
 

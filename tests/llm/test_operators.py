@@ -643,3 +643,20 @@ def test_query_matches_sql(spark, duck, small, name):
 
 def test_digest():
     assert decontaminate.digest([]) == hashlib.sha256(b"").hexdigest()
+
+
+def test_an_encoder_keeps_its_earliest_pre_tokens(monkeypatch):
+    """Memory is bounded, and what a worker met first stays known; ids are the tokenizer's own throughout."""
+    import numpy as np
+    import public_tokenizers
+    from meteolith.llm import common, packing
+
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    enc = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"the same words again and {' '.join(f'w{chr(97 + i)}{chr(97 + k)}x' for k in range(20))}" for i in range(12)]
+    for t in texts:
+        ids = np.frombuffer(enc.encode([t])[0], "<u4").tolist()
+        assert ids == [*enc.tok.encode(t, add_special_tokens=False).ids, 0] and len(enc.known) <= 40 + 30
+    assert len(enc.known) >= 20
+    assert list(common.ranges([3, 3, 9, 0, 1], 6)) == [(0, 2), (2, 3), (3, 5)]
+    assert packing.REMEMBERED == 40 and packing.STRETCH <= 1_000_000

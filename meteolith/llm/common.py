@@ -115,8 +115,11 @@ def kept(name: str, make: Callable[[], object]) -> object:
 
 
 def _forget_all_but(name: str) -> None:
-    for other in [k for k in _KEPT if k != name]:
-        del _KEPT[other]
+    """What the worker kept for another stage goes back to the system at once, not when the next task ends."""
+    if others := [k for k in _KEPT if k != name]:
+        for other in others:
+            del _KEPT[other]
+        _give_back()
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, keeps: str = "") -> DataFrame:

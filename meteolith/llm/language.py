@@ -36,6 +36,8 @@ LEXICON = 2000
 STRETCH, CONTEXT = 2048, 32
 #: Tokens whose emissions a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 300_000
+#: Tokens whose emissions are computed at once.
+NEW = 10_000
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -208,7 +210,7 @@ class Tagger:
         new = [w for w in set(words) if w not in self.known]
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, *(self.field.emissions(new[i : i + 50_000]) for i in range(0, len(new), 50_000))])
+            self.rows = np.concatenate([self.rows, *(self.field.emissions(new[i : i + NEW]) for i in range(0, len(new), NEW))])
         return self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
     def distributions(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:

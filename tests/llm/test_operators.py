@@ -660,3 +660,27 @@ def test_an_encoder_keeps_its_earliest_pre_tokens(monkeypatch):
     assert len(enc.known) >= 20
     assert list(common.ranges([3, 3, 9, 0, 1], 6)) == [(0, 2), (2, 3), (3, 5)]
     assert packing.REMEMBERED == 40 and packing.STRETCH <= 1_000_000
+
+
+# What workers hold
+
+
+def test_a_worker_gives_back_at_once_what_it_kept_for_another_stage(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "_KEPT", {"encoder": object()})
+    monkeypatch.setattr(common, "_give_back", lambda: given.append(dict(common._KEPT)))
+    common._forget_all_but("encoder")
+    assert not given
+    common._forget_all_but("")
+    assert given == [{}]
+
+
+def test_language_computes_emissions_of_few_new_words_at_once(monkeypatch):
+    field = language.Field(["a", "b"], {})
+    whole = language.Field.emissions
+    sizes = []
+    monkeypatch.setattr(language.Field, "emissions", lambda self, words: sizes.append(len(words)) or whole(self, words))
+    words = [f"w{i:x}" for i in range(25_000)]
+    rows = language.Tagger(field).lookup(words)
+    assert max(sizes) <= 10_000 and sum(sizes) == 25_000
+    assert np.array_equal(rows, whole(field, words))

@@ -178,6 +178,17 @@ def test_dense_neighbours_are_searched_not_joined(spark, monkeypatch):
         assert all(tuple(r[f"t_{v}"] for v in VARIABLES) == values[r["target_seq"]] and all(tuple(y["x"][f"n_{v}"] for v in VARIABLES) == values[y["x"]["n_seq"]] for y in r["top"]) for r in got)
 
 
+def test_readings_without_values_have_the_same_neighbours_and_shuffle_no_values(spark, small):
+    o = observations.from_events(spark, small)
+    bare = spatial.neighbours(o.drop(*VARIABLES), observations.stations(spark))
+    plan = bare._jdf.queryExecution().executedPlan().toString()
+    assert not any(v in plan for v in VARIABLES)
+    keys = ["target_seq", "neighbour", "rank", "n_seq", "skew_us", "weight"]
+    full = spatial.neighbours(o, observations.stations(spark)).select(*keys)
+    bare = bare.select(*keys)
+    assert bare.count() == full.count() > 0 and bare.exceptAll(full).count() == 0
+
+
 def test_copies_of_readings_keep_their_neighbours(spark, small):
     """Copies of all readings at the same times with later seqs: each copy's neighbours are those of the first, found with
     two passes over the readings and no join."""

@@ -375,3 +375,18 @@ def test_thinned_curve_keeps_its_ends(spark):
     rows = spark.createDataFrame([(i / 1000, i % 3 == 0) for i in range(1000)], "score double, truth boolean")
     got = sorted(tuple(r) for r in metrics.thinned(metrics.cuts(rows).select("score", "tp", "fp"), 20).collect())
     assert got[0] == (0.0, 334, 666) and got[-1][0] == 0.999 and 18 <= len(got) <= 22
+
+
+def test_coalitions_of_a_forest_equal_its_predictions():
+    """Walking x and base together gives the very numbers of the mixed rows, and each distinct coalition is asked once."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 14))
+    forest = diagnosis.FaultForest().fit(x, [diagnosis.FAULT_CLASSES[int(k)] for k in (x[:, 0] > 0) + 2 * (x[:, 3] * x[:, 5] > 0)])
+    masks = rng.random((500, 14)) < 0.5
+    for a, b in ((x[0], x[1]), (x[2], x[2]), (x[3], x.mean(axis=0))):
+        assert np.array_equal(forest.coalitions(a, b, masks), forest.probabilities(np.where(masks, a, b)))
+    asked = []
+    phi = diagnosis.sampled(lambda m: asked.append(m) or forest.coalitions(x[0], x[1], m)[:, 1], 14, 220, 5)
+    assert len(asked[0]) == len(np.unique(asked[0], axis=0)) < 220 * 15
+    ends = forest.probabilities(x[:2])[:, 1]
+    assert phi.sum() == pytest.approx(ends[0] - ends[1])

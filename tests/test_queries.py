@@ -227,3 +227,22 @@ def test_reset_row_clears_its_station_alone(spark, small, tmp_path):
     assert comparable(got.select(columns).toPandas()) == comparable(want.select(columns).toPandas())
     whole = rules.layer(o.where(F.col("seq") != half)).select(columns)
     assert comparable(whole.toPandas()) != comparable(want.select(columns).toPandas())  # the reset shows
+
+
+def test_anomalies_alone_are_explained_as_within_all_readings(spark, small):
+    import numpy as np
+
+    from meteolith.operators import diagnosis
+    from meteolith.plans import pipeline
+    from meteolith.sources import observations as source
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, len(diagnosis.FEATURES)))
+    fitted = pipeline.Fitted(forest=diagnosis.FaultForest().fit(x, [("spike", "noise")[int(v > 0)] for v in x[:, 3]]))
+    names = ["seq", "station_id", "fault_class", "confidence", "severity", "evidence", "explanation"]
+    run = lambda flagged: pipeline.process(queries.obs(spark, small), source.stations(spark), fitted, flagged=flagged)
+    alone = run(True)
+    alone, within = ([r for r in df.select(*names).orderBy("seq").collect()] for df in (alone, run(False).where("is_anomaly")))
+    assert alone == within and any(r["evidence"] for r in alone)
+    # The wide chain stands in no branch of the plan that explains: anomalies were written once.
+    assert "Window" not in run(True)._jdf.queryExecution().executedPlan().toString()

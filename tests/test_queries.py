@@ -246,3 +246,7 @@ def test_anomalies_alone_are_explained_as_within_all_readings(spark, small):
     assert alone == within and any(r["evidence"] for r in alone)
     # The wide chain stands in no branch of the plan that explains: anomalies were written once.
     assert "Window" not in run(True)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_chain_carries_no_column_that_nothing_reads(spark, small):
+    assert "event_type" not in queries.QUERIES["engine_without_models"](spark, small)._jdf.queryExecution().executedPlan().toString()

@@ -16,19 +16,33 @@ from pyspark.sql import functions as F
 from meteolith.llm import common, decontaminate, language, minhash, packing, pii
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of text that go to a Python worker at once. Executor and worker hold several copies of a batch each, and a
+#: Spark of many stages has little memory left beside its heap; results don't depend on it.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Holds for the session from now on, as a stage's result is computed after the stage's function has returned."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < most <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     labelled = docs.where(common.doc_bucket("doc_id", 3) != 1)
     found = language.identify(docs.select(*COLUMNS), labelled)
     return found.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return minhash.deduplicated(docs.select(*COLUMNS))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     found = decontaminate.decontaminate(docs.select(*COLUMNS), common.read(spark, sf_dir, "benchmark"))
     return found.where(F.size("hit_words") == 0).select(*COLUMNS)
 
@@ -42,6 +56,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    in_small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

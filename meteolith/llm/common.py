@@ -135,10 +135,10 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(trimmed, schema)
 
 
-def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], fields: list[T.StructField]) -> DataFrame:
+def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], fields: list[T.StructField], keeps: str = "") -> DataFrame:
     """df with further columns computed per Arrow batch; input columns of the same names are replaced.
 
-    make() runs once per task and gives the function from a batch to the new columns' values.
+    make() runs once per task and gives the function from a batch to the new columns' values; `keeps` as in map_arrow().
     """
     names = [f.name for f in fields]
     schema = T.StructType([f for f in df.schema.fields if f.name not in names] + fields)
@@ -153,7 +153,7 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
             old = [c for c in batch.schema.names if c not in names]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in old), *new], names=[*old, *names])
 
-    return map_arrow(df, run, schema)
+    return map_arrow(df, run, schema, keeps)
 
 
 def slices(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:

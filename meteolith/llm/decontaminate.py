@@ -83,20 +83,13 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_BUILT: dict[str, ahocorasick.Automaton] = {}
-
-
-def automaton(key: str, shared) -> ahocorasick.Automaton:
-    """Built once in each Python worker for each broadcast block."""
-    if key not in _BUILT:
-        a = ahocorasick.Automaton()
-        for w, (k, ids) in shared.value.items():
-            a.add_word(w, (len(w), k, tuple(ids)))
-        if len(a):
-            a.make_automaton()
-        _BUILT.clear()
-        _BUILT[key] = a
-    return _BUILT[key]
+def automaton(shared) -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for w, (k, ids) in shared.value.items():
+        a.add_word(w, (len(w), k, tuple(ids)))
+    if len(a):
+        a.make_automaton()
+    return a
 
 
 def scan(a: ahocorasick.Automaton, text: str | None) -> tuple[int, list, list, list]:
@@ -130,10 +123,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     shared = [spark.sparkContext.broadcast({w: (k, sorted(i)) for w, (k, i) in b.items()}) for b in blocks(benchmark, item_text, item_id, width, block_bytes)] or [spark.sparkContext.broadcast({})]
     out = docs
     for n, one in enumerate(shared):
+        key = f"automaton {uuid.uuid4().hex}"
+
+        def make(one=one, key=key, again=n > 0):
+            a = common.kept(key, lambda: automaton(one))  # built once in each Python worker for each block
 
-        def make(one=one, key=uuid.uuid4().hex, again=n > 0):
             def f(batch: pa.RecordBatch) -> list:
-                a = automaton(key, one)
                 rows = [scan(a, t) for t in batch.column(text_col).to_pylist()]
                 if again:
                     before = zip(*(batch.column(x.name).to_pylist() for x in FIELDS), strict=True)
@@ -146,7 +141,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
             return f
 
-        out = common.append_columns(out, make, FIELDS)
+        out = common.append_columns(out, make, FIELDS, keeps=key)
     return out
 
 

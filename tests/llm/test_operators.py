@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -684,3 +685,37 @@ def test_language_computes_emissions_of_few_new_words_at_once(monkeypatch):
     rows = language.Tagger(field).lookup(words)
     assert max(sizes) <= 10_000 and sum(sizes) == 25_000
     assert np.array_equal(rows, whole(field, words))
+
+
+def test_the_pipeline_hands_texts_to_workers_in_small_batches(spark, small):
+    import corpus_pipeline
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 1000) AS text", "'en' AS lang", "'x' AS source", "5000L AS n_chars")
+    try:
+        spark.conf.unset(key)
+        corpus_pipeline.without_benchmark(spark, docs, small)
+        got = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert max(r["size"] for r in got) < 6_000_000 and sum(r["n"] for r in got) == 6000
+        spark.conf.set(key, "1m")
+        corpus_pipeline.in_small_batches(spark)
+        assert spark.conf.get(key) == "1m"  # what is smaller already stays
+    finally:
+        spark.conf.unset(key)
+
+
+def test_decontamination_keeps_no_automaton_beyond_its_stage(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(common, "_KEPT", {})
+    monkeypatch.setattr(common, "append_columns", lambda df, make, fields, keeps="": made.append((make, keeps)) or df)
+    texts = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    decontaminate.decontaminate(texts, spark.createDataFrame([("i", "one two")], "item_id string, text string"))
+    make, keeps = made[0]
+    make()
+    assert list(common._KEPT) == [keeps]
+    common._forget_all_but("")
+    assert not common._KEPT

@@ -390,3 +390,52 @@ def test_coalitions_of_a_forest_equal_its_predictions():
     assert len(asked[0]) == len(np.unique(asked[0], axis=0)) < 220 * 15
     ends = forest.probabilities(x[:2])[:, 1]
     assert phi.sum() == pytest.approx(ends[0] - ends[1])
+
+
+def scaled(spark, n, holes=()):
+    """Two stations of n readings, some incomplete, as transform() leaves them."""
+    z = spark.range(2 * n).select(
+        F.col("id").alias("seq"), F.concat(F.lit("S"), (F.col("id") % 2).cast("string")).alias("station_id"), F.expr("timestampadd(MINUTE, int(id), timestamp_ntz'2024-01-01 00:00:00')").alias("timestamp"),
+        *[(F.sin(F.col("id") / (20.0 + i))).alias(v) for i, v in enumerate(VARIABLES)],
+    )
+    z = z.withColumn("temp_c", F.when(F.col("seq").isin(list(holes)), None).otherwise(F.col("temp_c")))
+    return z.withColumns({f"z_{v}": F.col(v) for v in VARIABLES})
+
+
+@pytest.mark.parametrize("stride", [1, 2, 3])
+def test_shards_hold_every_training_window(spark, monkeypatch, stride):
+    """Every stride-th full window of each station stands in the shards exactly once, over holes and Arrow batches."""
+    monkeypatch.setattr(lstm, "SHARD", 300)
+    z = scaled(spark, 1500, holes=(301, 302, 340, 341, 346, 2000, 2999)).localCheckpoint()
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "77")
+    try:
+        shards = lstm.sharded(z, z, 8, stride).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for late, step in ((False, stride), (True, 1)):
+        want = np.array([r["window"] for r in temporal.training_windows(z, 8, step).select("window").collect()], np.float32)
+        some = [r for r in shards if r["late"] == late]
+        got = np.concatenate([lstm.unpacked(r["parts"], 8, r["stride"]) for r in some])
+        assert len(some) > 1 and [len(lstm.unpacked(r["parts"], 8, r["stride"])) for r in some] == [r["n"] for r in some]
+        assert sorted(w.tobytes() for w in want) == sorted(w.tobytes() for w in got)
+
+
+def test_training_goes_over_more_windows_than_one_shard_holds(spark, monkeypatch):
+    """More than 20,000 windows of a table are all trained on; one shard alone is fit() itself, several learn as well."""
+    seen = []
+    monkeypatch.setattr(lstm, "fit_shards", lambda model, shards, cfg: seen.append({r[0]: r[1] for r in shards.groupBy("late").agg(F.sum("n")).collect()}))
+    pipeline.train(scaled(spark, 22_000), scaled(spark, 11_000), stride=1)
+    assert seen == [{False: 2 * (22_000 - 23), True: 2 * (11_000 - 23)}]
+    monkeypatch.undo()
+    cfg = dataclasses.replace(DEFAULT.model, epochs=4, patience=4, learning_rate=0.02)
+    z = scaled(spark, 600).localCheckpoint()
+    one = lstm.sharded(z, z, 6, 2).localCheckpoint()
+    x, y = (lstm.unpacked(r["parts"], 6, r["stride"]) for r in one.orderBy("late").collect())
+    alone, dealt, several = (lstm.Autoencoder(6, 8) for _ in range(3))
+    before = dealt.loss(y.astype(float))
+    assert lstm.fit_shards(dealt, one, cfg) == pytest.approx(alone.fit(x, y, cfg), rel=1e-4)
+    assert all(np.allclose(alone.p[k], dealt.p[k], atol=1e-4) for k in alone.p)
+    monkeypatch.setattr(lstm, "SHARD", 200)
+    history = lstm.fit_shards(several, lstm.sharded(z, z, 6, 2).localCheckpoint(), cfg)
+    assert len(history) == 4 and several.loss(y.astype(float)) == pytest.approx(min(history), rel=1e-4) and min(history) < 0.7 * before

@@ -250,3 +250,19 @@ def test_anomalies_alone_are_explained_as_within_all_readings(spark, small):
 
 def test_the_chain_carries_no_column_that_nothing_reads(spark, small):
     assert "event_type" not in queries.QUERIES["engine_without_models"](spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_forest_learns_from_every_fingerprint(spark, small, monkeypatch):
+    """More than 2,000 fingerprints are not cut."""
+    import numpy as np
+
+    from meteolith.operators import diagnosis
+    from meteolith.plans import pipeline
+
+    rng = np.random.default_rng(3)
+    rows = [(rng.normal(size=len(diagnosis.FEATURES)).tolist(), ("spike", "drift")[i % 2]) for i in range(2500)]
+    monkeypatch.setattr(pipeline, "training_set", lambda *_: spark.createDataFrame(rows, "fingerprint array<double>, fault_class string"))
+    seen = []
+    monkeypatch.setattr(diagnosis.FaultForest, "fit", lambda self, x, y: seen.append(sorted(zip(map(tuple, x.tolist()), y, strict=True))) or self)
+    queries.trained_forest(spark, small, pipeline.Fitted())
+    assert seen == [sorted((tuple(x), y) for x, y in rows)]

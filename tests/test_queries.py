@@ -266,3 +266,20 @@ def test_forest_learns_from_every_fingerprint(spark, small, monkeypatch):
     monkeypatch.setattr(diagnosis.FaultForest, "fit", lambda self, x, y: seen.append(sorted(zip(map(tuple, x.tolist()), y, strict=True))) or self)
     queries.trained_forest(spark, small, pipeline.Fitted())
     assert seen == [sorted((tuple(x), y) for x, y in rows)]
+
+
+def test_what_is_fitted_is_computed_once(spark, small):
+    """Scaler, joint state and thresholds are tables: no later plan runs the model over all readings again for them."""
+    import dataclasses
+
+    from meteolith.config import DEFAULT
+    from meteolith.plans import pipeline
+    from meteolith.sources import observations as source
+
+    clean = source.trusted(queries.obs(spark, small)).where("keep").drop("keep")
+    cfg = dataclasses.replace(DEFAULT, model=dataclasses.replace(DEFAULT.model, window=6, hidden=4, epochs=1))
+    f = pipeline.fit(*queries.chronological(clean), cfg, whole=clean)
+    for table in (f.scaler, f.multivariate, f.thresholds):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "Scan parquet" in plan and not any(x in plan for x in ("Exchange", "MapInArrow", "Aggregate"))
+    assert f.thresholds.count() == f.scaler.count() == 8
